@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from offerloom.llm import pii
+from offerloom.llm import langid, pii
 
 QUERIES = {
     "op9_pii": pii.op9_pii,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
