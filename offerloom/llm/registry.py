@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from offerloom.llm import langid, pii
+from offerloom.llm import langid, pii, toxicity
 
 QUERIES = {
+    "op6_toxicity": toxicity.op6_toxicity,
     "op9_pii": pii.op9_pii,
     "op10_language_id": langid.op10_language_id,
 }
