@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from offerloom.llm import langid, pii, toxicity
+from offerloom.llm import langid, packing, pii, toxicity
 
 QUERIES = {
+    "op4_packing": packing.op4_packing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op9_pii": pii.op9_pii,
     "op10_language_id": langid.op10_language_id,
