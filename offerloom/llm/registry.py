@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from offerloom.llm import langid, packing, pii, toxicity
+from offerloom.llm import decontam, langid, packing, pii, toxicity
 
 QUERIES = {
     "op4_packing": packing.op4_packing,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op8_decontamination": decontam.op8_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_language_id": langid.op10_language_id,
 }
