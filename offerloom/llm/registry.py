@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from offerloom.llm import decontam, langid, packing, pii, toxicity
+from offerloom.llm import decontam, jaccard, langid, packing, pii, toxicity
 
 QUERIES = {
+    "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op4_packing": packing.op4_packing,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_decontamination": decontam.op8_decontamination,
@@ -12,4 +13,4 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.OP2_SQL}
