@@ -3,21 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write df once to the shared folder in spark.checkpoint.dir and go on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this session in spark.checkpoint.dir, which driver and executors share.
 
     The setting is the cluster's. Only a session without one, as in tests, gets
     a temporary folder, which is right only where all tasks run on one machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
         if not given and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(given or tempfile.mkdtemp())
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write df once to the shared folder and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a Parquet table to the shared folder and read it again."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -156,26 +156,26 @@ def redacted(text: str | None, found: list[tuple[str, int, int]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id, counts of the base kinds, all spans, and the redacted text."""
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: id, the columns in keep, counts of the base kinds, all spans, and the redacted text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, texts in slices(batches, "text"):
+        for piece, texts in slices(batches, "_text"):
             rows = [spans(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    piece.column(0),
+                    *piece.columns[1:],
                     *(pa.array([sum(s[0] == k for s in r) for r in rows], pa.int64()) for k in BASE),
                     pa.array([hashlib.sha256(joined([s for s in r if s[0] in BASE]).encode()).hexdigest() for r in rows]),
                     pa.array([joined(r) for r in rows], pa.string()),
                     pa.array([redacted(t, r) for t, r in zip(texts, rows)], pa.string()),
                 ],
-                names=["id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "redacted"],
+                names=[*piece.schema.names[1:], *(f"n_{k}" for k in BASE), "base_sha256", "spans", "redacted"],
             )
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, schema).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(text_col).alias("_text"), *dict.fromkeys([id_col, *keep]))
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
+    return rows.mapInArrow(scan, f"{own}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, redacted string")
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
