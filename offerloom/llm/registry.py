@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from offerloom.llm import decontam, jaccard, langid, packing, pii, toxicity
+from offerloom.llm import decontam, jaccard, langid, packing, pii, quality, toxicity, urls
 
 QUERIES = {
+    "op1_url_filters": urls.op1_url_filters,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
     "op4_packing": packing.op4_packing,
+    "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_language_id": langid.op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op2_jaccard_join": jaccard.OP2_SQL}
+ORACLES: dict[str, str] = {"op1_url_filters": urls.OP1_SQL, "op2_jaccard_join": jaccard.OP2_SQL}
