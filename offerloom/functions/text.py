@@ -1,0 +1,86 @@
+"""Text of pages and names, as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Accented letters and the letters below the accents.
+ACCENTED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
+PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Named entities and what they stand for; the ampersand comes last.
+ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")]
+DROPPED = ("script", "style", "noscript", "svg")
+BREAKS = r"(?i)<(?:br|/p|/div|/li|/tr|/td|/th|/h[1-6]|/section|/article)>"
+# Fixed value: units that a product line may count.
+PRODUCT_UNIT = r"(?:diamonds?|uc|vp|cp|robux|opals?|tokens?|starstones?|crystals?|oneiric\s+shards?|monochrome|lunites?|origeometry|points?|coins?|vouchers?)"
+
+
+def normalized(text: Column, accents: str = "split", blank: str = " ") -> Column:
+    """Lower-case letters and digits with single blanks between runs.
+
+    accents: "split" leaves a gap where a combining mark stood, as `poke mon`;
+    "fold" drops the mark, as `pokemon`.
+    """
+    text = F.lower(F.coalesce(text, F.lit("")))
+    if accents == "split":
+        text = F.regexp_replace(text, f"([{ACCENTED}])", "$1 ")
+    return F.btrim(F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "[^a-z0-9]+", blank), F.lit(blank))
+
+
+def decoded(text: Column) -> Column:
+    """Named entities replaced; unknown ones stay."""
+    for name, value in ENTITIES:
+        text = F.regexp_replace(text, f"(?i)&{name};", value)
+    return text
+
+
+def squeezed(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def lines(html: Column) -> Column:
+    """Array of the visible, non-empty lines of a page; only closing block tags and a literal br end a line."""
+    for tag in DROPPED:
+        html = F.regexp_replace(html, rf"(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}>", " ")
+    text = decoded(F.regexp_replace(F.regexp_replace(html, BREAKS, "\n"), "<[^>]+>", " "))
+    return F.filter(F.transform(F.split(text, r"\r?\n"), squeezed), lambda x: x != "")
+
+
+def is_instruction(line: Column) -> Column:
+    """Lines that tell a visitor what to choose or fill in."""
+    text = F.lower(squeezed(line))
+    return text.rlike(r"^(?:pilih|pilihkan|select|choose|silakan pilih|silahkan pilih|tentukan|masukkan|masukan|isi|klik)(?:$|[^a-z0-9_])") | text.rlike(rf"(?:^|[^a-z0-9_])(?:choose|select)(?:$|[^a-z0-9_]).{{0,50}}{PRODUCT_UNIT}(?:$|[^a-z0-9_])")
+
+
+def is_rounded_price(line: Column) -> Column:
+    """Prices in words or thousands, like `Rp 20 ribu`."""
+    return F.lower(squeezed(line)).rlike(r"(?:^|[^a-z0-9_])(?:rp\.?|idr)\s*\d[\d.,]*\s*(?:ribu(?:an)?|rb|k)(?:$|[^a-z0-9_])")
+
+
+def counted_products(line: Column) -> Column:
+    return F.regexp_count(F.lower(squeezed(line)), F.lit(rf"\d[\d.,]*\s*(?:bonus\s*)?{PRODUCT_UNIT}"))
+
+
+def is_marketing(line: Column) -> Column:
+    """Sentences about products that are not a product themselves."""
+    text = F.lower(squeezed(line))
+    words, products = F.size(F.split(text, " ")), counted_products(line)
+    opens = text.rlike(r"^(?:untuk|kamu|anda|dengan|jika|kalau|cukup|mulai)(?:$|[^a-z0-9_])") | text.rlike(r"^top\s*up\s+\d")
+    promo = text.rlike(r"^paket(?:$|[^a-z0-9_])") & text.contains(":") & text.rlike(r"(?:^|[^a-z0-9_])(?:amankan|dapatkan|nikmati|stok|cuma|hanya|hemat|promo|termurah)(?:$|[^a-z0-9_])")
+    you = text.rlike(r"(?:^|[^a-z0-9_])(?:kamu|anda)\s+(?:bisa|dapat|akan)(?:$|[^a-z0-9_])")
+    return is_instruction(line) | is_rounded_price(line) | promo | (products > 1) | ((words > 18) & (products >= 1)) | ((words >= 8) & opens) | ((words >= 10) & you)
+
+
+def is_product(line: Column) -> Column:
+    """Lines that name an amount of a unit, and are nothing else."""
+    text = F.lower(squeezed(line))
+    size = F.char_length(text)
+    stop = text.rlike(r"^(?:image:|(?:dari|best seller|promo|diskon|pilih|harga|nominal|deskripsi|detail|lihat semua|pilih nominal|pilih produk|pilih diamond)$)") | text.rlike(r"^(?:rp\.?\s*)?\d[\d.,]*$")
+    counted = text.rlike(rf"\d[\d.,]*(?:\s*\+\s*\d[\d.,]*)?\s*(?:bonus\s*)?{PRODUCT_UNIT}(?:$|[^a-z0-9_])")
+    return (size >= 2) & (size <= 160) & ~is_marketing(line) & ~stop & counted
+
+
+def contains_phrase(text: Column, phrase: Column) -> Column:
+    """Whole-phrase containment in normalised text."""
+    return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" "))) & (phrase != "")
