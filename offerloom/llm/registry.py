@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from offerloom.llm import decontam, jaccard, langid, packing, pii, quality, toxicity, urls
+from offerloom.llm import decontam, jaccard, langid, packing, pii, quality, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_decontamination": decontam.op8_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_language_id": langid.op10_language_id,
