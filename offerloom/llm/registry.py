@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from offerloom.llm import decontam, jaccard, langid, packing, pii, quality, suffixes, toxicity, urls
+from offerloom.llm import decontam, jaccard, langid, neardup, packing, pii, quality, suffixes, toxicity, urls
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
     "op2_jaccard_join": jaccard.op2_jaccard_join,
+    "op3_neardup": neardup.op3_neardup,
     "op4_packing": packing.op4_packing,
     "op5_quality": quality.op5_quality,
     "op6_toxicity": toxicity.op6_toxicity,
