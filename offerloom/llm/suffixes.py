@@ -4,10 +4,10 @@ Every byte goes that is covered by a string of `span` (50) bytes which also
 starts in a document with a smaller id. Suffixes are compared only as far as
 needed: to depth `span`.
 
-1. Initial buckets are the q-grams (q = 24) at anchors: of all q-grams in a
+1. Initial buckets are the q-grams (q = 20) at anchors: of all q-grams in a
    string of 50 bytes the one with the smallest hash, the rightmost among equal
    ones. Equal strings have the same anchor, so whatever repeats meets in a
-   bucket, and only one place in about fourteen is sent.
+   bucket, and only one place in about sixteen is sent.
 2. A bucket is refined by the buckets at later offsets. The range of starting
    places that share an anchor, and the bytes they reach, are one suffix block;
    its bucket pointer is built by doubling, each pass combining the pointers at
@@ -44,9 +44,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.llm.arrow import slices
-from offerloom.llm.durable import bucketed, durable, written
+from offerloom.llm.durable import bucketed, written
 
-SPAN, Q = 50, 24
+SPAN, Q = 50, 20
 GROUP_BYTES = 2_000_000  # text in a group of documents, about
 BUCKET_BYTES = 24_000_000  # text whose anchors meet in one range of buckets, about
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -58,6 +58,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_STEP = dict(zip((1 << k for k in range(16)), _mix(np.arange(1, 17, dtype=np.uint64) * _PRIME) | np.uint64(1)))  # a multiplier for each length
 _BYTES = _mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * _PRIME)
 
 
@@ -66,14 +67,14 @@ def pointers(b: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
     held = {1: _BYTES[b]}
     n = 1
     while 2 * n <= max(lengths):
-        held[2 * n] = _mix(held[n][: len(held[n]) - n] * _PRIME + held[n][n:])
+        held[2 * n] = held[n][: len(held[n]) - n] * _STEP[n] + held[n][n:]
         n *= 2
     out = {}
     for length in lengths:
         k = 1 << (length.bit_length() - 1)
         p = held[k]
         m = max(0, len(b) - length + 1)
-        out[length] = p[:m] if k == length else _mix(p[:m] * _PRIME + p[length - k : length - k + m] + np.uint64(length))
+        out[length] = _mix(p[:m] * _PRIME) if k == length else _mix(p[:m] * _PRIME + p[length - k : length - k + m] + np.uint64(length))
     return out
 
 
@@ -94,6 +95,7 @@ class Blocks:
         self.begins = np.cumsum(sizes) - sizes
         self.bytes = b = np.frombuffer(b"".join(texts), np.uint8)
         empty = np.zeros(0, np.int64)
+        self.grams = np.zeros(0, np.uint64)
         self.doc, self.first, self.last, self.anchor, self.pointer = empty, empty, empty, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         if len(b) < SPAN:
             return
@@ -115,9 +117,9 @@ class Blocks:
         last = ends[np.searchsorted(ends, heads, side="right")] - 1
         self.first, self.last = heads, last  # both are starting places
         self.doc = owner[heads]
-        self.anchor = gram[anchor_at[heads]]
-        reach = p[SPAN]
-        self.pointer = _mix(_mix(reach[heads] * _PRIME + reach[last]) * _PRIME + (last - heads).astype(np.uint64) * np.uint64(64) + (anchor_at[heads] - heads).astype(np.uint64))
+        self.anchor = gram[anchor_at[heads]] >> np.uint64(16)
+        self.grams = reach = p[SPAN]
+        self.pointer = np.uint64((1 << 48) - 1) & _mix(_mix(reach[heads] * _PRIME + reach[last]) * _PRIME + (last - heads).astype(np.uint64) * np.uint64(64) + (anchor_at[heads] - heads).astype(np.uint64))
 
 
 def _raw(text: str | None) -> bytes:
@@ -143,8 +145,29 @@ def _group_blocks(table: pa.Table | pa.RecordBatch) -> tuple[Blocks, np.ndarray]
     return Blocks(texts), ids
 
 
-def _u64(column: pa.Array, dtype="<u8") -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
+def _packed(x: np.ndarray, width: int) -> bytes:
+    """The low bytes of whole numbers, plane by plane, so that equal high bytes stand together and compress."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _planes(blobs: list[bytes], width: int) -> np.ndarray:
+    """The numbers in blobs of planes, end to end."""
+    out = np.zeros((sum(map(len, blobs)) // width, 8), np.uint8)
+    at = 0
+    for blob in blobs:
+        n = len(blob) // width
+        out[at : at + n, :width] = np.frombuffer(blob, np.uint8).reshape(width, n).T
+        at += n
+    return out.view("<u8").ravel()
+
+
+def _dealt(part: np.ndarray, parts: int, columns: list[tuple[np.ndarray, int]]) -> tuple[list[int], list[pa.Array]]:
+    """Which parts there are, and for each column a blob of each part's numbers; within a part the order stays."""
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    full = [k for k in range(parts) if cuts[k + 1] > cuts[k]]
+    sorted_ = [(x[order], width) for x, width in columns]
+    return full, [pa.array([_packed(x[cuts[k] : cuts[k + 1]], width) for k in full], pa.binary()) for x, width in sorted_]
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
@@ -175,25 +198,20 @@ def _sent(docs: DataFrame, ranges: int) -> DataFrame:
     def send(table: pa.Table) -> pa.Table:
         blocks, ids = _group_blocks(table)
         rows, _, low = _kinds(blocks, ids)
-        anchors, pointer = blocks.anchor[rows], blocks.pointer[rows]
-        part = (anchors >> np.uint64(40)).astype(np.int64) % ranges  # anchors are sorted; a range takes every so many
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(ranges + 1))
-        own = [order[cuts[k] : cuts[k + 1]] for k in range(ranges)]
-        full = [k for k in range(ranges) if len(own[k])]
-        blob = lambda x, kind: pa.array([x[own[k]].astype(kind).tobytes() for k in full], pa.binary())
-        grp = table.column("grp")[0].as_py()
-        return pa.table({"range": pa.array(full, pa.int32()), "grp": pa.array([grp] * len(full), pa.int32()), "anchors": blob(anchors, "<u8"), "pointers": blob(pointer, "<u8"), "ids": blob(low, "<i8")})
+        anchors = blocks.anchor[rows]
+        full, blobs = _dealt((anchors % np.uint64(ranges)).astype(np.int64), ranges, [(anchors, 6), (blocks.pointer[rows], 6), (low, 8)])
+        return pa.table([pa.array(full, pa.int32()), pa.array([table.column("grp")[0].as_py()] * len(full), pa.int32()), *blobs], names=["range", "grp", "anchors", "pointers", "ids"])
 
     return docs.groupBy("grp").applyInArrow(send, _KINDS)
 
 
 def _learnt(sent: DataFrame) -> DataFrame:
-    """Back to each group: kinds found in a smaller document elsewhere (`low`), and kinds whose bucket has others (`mixed`)."""
+    """Back to each group: kinds found in a smaller document elsewhere (`low`), and kinds to look into (`mixed`)."""
 
     def meet(table: pa.Table) -> pa.Table:
-        anchors, pointer, ids = _u64(table.column("anchors")), _u64(table.column("pointers")), _u64(table.column("ids"), "<i8")
-        sizes = np.array([len(x) // 8 for x in table.column("anchors").to_pylist()], np.int64)
+        anchors, pointer, ids = (_planes(table.column(c).to_pylist(), w) for c, w in (("anchors", 6), ("pointers", 6), ("ids", 8)))
+        ids = ids.view("<i8")
+        sizes = np.array([len(x) // 6 for x in table.column("anchors").to_pylist()], np.int64)
         source = np.repeat(np.arange(len(sizes)), sizes)
         order = np.lexsort((ids, pointer, anchors))
         a, p = anchors[order], pointer[order]
@@ -203,19 +221,16 @@ def _learnt(sent: DataFrame) -> DataFrame:
         new_k[1:] |= p[1:] != p[:-1]
         kind = np.cumsum(new_k) - 1
         low = ids[order][new_k][kind]  # smallest document of the kind
-        kinds_of_bucket = np.bincount(np.cumsum(new_a) - 1, new_k)[np.cumsum(new_a) - 1]
-        mixed = kinds_of_bucket > 1
-        # Only the sender with the smallest document shows a mixed kind's bytes; all others learn where it stands.
+        bucket = np.cumsum(new_a) - 1
+        # Whoever has a kind's smallest document looks into it; its other documents are covered as a whole.
+        mixed = (np.bincount(bucket, new_k)[bucket] > 1) & (low == ids[order])
         told = (low < ids[order]) | mixed
-        rows = order[told]
+        rows, low, mixed = order[told], low[told], mixed[told]
         back = np.lexsort((anchors[rows], source[rows]))
         rows = rows[back]
-        low, mixed = low[told][back], mixed[told][back]
-        cuts = np.searchsorted(source[rows], np.arange(len(sizes) + 1))
-        full = [k for k in range(len(sizes)) if cuts[k + 1] > cuts[k]]
-        blob = lambda x, kind: pa.array([x[cuts[k] : cuts[k + 1]].astype(kind).tobytes() for k in full], pa.binary())
+        full, blobs = _dealt(source[rows], len(sizes), [(anchors[rows], 6), (pointer[rows], 6), (low[back], 8), (mixed[back], 1)])
         groups = table.column("grp").to_pylist()
-        return pa.table({"grp": pa.array([groups[k] for k in full], pa.int32()), "anchors": blob(anchors[rows], "<u8"), "pointers": blob(pointer[rows], "<u8"), "low": blob(low, "<i8"), "mixed": blob(mixed, "u1")})
+        return pa.table([pa.array([groups[k] for k in full], pa.int32()), *blobs], names=["grp", "anchors", "pointers", "low", "mixed"])
 
     return sent.groupBy("range").applyInArrow(meet, "grp int, anchors binary, pointers binary, low binary, mixed binary")
 
@@ -231,276 +246,76 @@ def _lookup(blocks: Blocks, rows: np.ndarray, anchors: np.ndarray, pointer: np.n
     return np.where(found, order[at] if len(have) else 0, -1)
 
 
-def _shown(docs: DataFrame, learnt: DataFrame) -> DataFrame:
-    """Strings of mixed kinds: (gram, id, grp) of every 50 bytes of each kind that a group alone has smallest; all groups with a mixed kind ask."""
-
-    def show(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"anchor": pa.array([], pa.int64()), "grp": pa.array([], pa.int32()), "grams": pa.array([], pa.binary()), "id": pa.array([], pa.int64())}
-        if left.num_rows and right.num_rows:
-            blocks, ids = _group_blocks(left)
-            rows, _, low = _kinds(blocks, ids)
-            at = _lookup(blocks, rows, _u64(right.column("anchors")), _u64(right.column("pointers")))
-            mixed = _u64(right.column("mixed"), "u1")
-            pick = np.flatnonzero((at >= 0) & (mixed[np.maximum(at, 0)] > 0))
-            grams = pointers(blocks.bytes, (SPAN,))[SPAN] if len(blocks.bytes) >= SPAN else np.zeros(0, np.uint64)
-            show = [grams[blocks.first[r] : blocks.last[r] + 1].astype("<u8").tobytes() for r in rows[pick]]
-            out = {"anchor": pa.array(blocks.anchor[rows[pick]].view(np.int64)), "grp": pa.array([left.column("grp")[0].as_py()] * len(pick), pa.int32()), "grams": pa.array(show, pa.binary()), "id": pa.array(low[pick])}
-        return pa.table(out)
-
-    return docs.groupBy("grp").cogroup(learnt.groupBy("grp")).applyInArrow(show, "anchor long, grp int, grams binary, id long")
-
-
-def _resolved(shown: DataFrame) -> DataFrame:
-    """(grp, gram, low): for strings of mixed kinds the smallest document that has them, where it is smaller than the group's own."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            sizes = [len(x) // 8 for x in blobs]
-            grams = np.frombuffer(b"".join(blobs), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist(), np.int32), sizes)), pa.array(grams), pa.array(np.repeat(np.array(batch.column(2).to_pylist(), np.int64), sizes))], names=["grp", "gram", "id"])
+def _answers(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors, pointers, low, mixed) of all that a group has learnt."""
+    has = lambda name: [x for x in right.column(name).to_pylist() if x is not None]
+    return _planes(has("anchors"), 6), _planes(has("pointers"), 6), _planes(has("low"), 8).view("<i8"), _planes(has("mixed"), 1) > 0
 
-    own = shown.select("grp", "grams", "id").mapInArrow(cut, "grp int, gram long, id long").groupBy("grp", "gram").agg(F.min("id").alias("id"), F.max("id").alias("top"))
-    own = written(own, "suffix-strings")
-    least = own.groupBy("gram").agg(F.min("id").alias("low"), F.max("top").alias("high")).filter("low < high").select("gram", "low")
-    return own.join(least, "gram").select("grp", "gram", "low")
 
+def _shown(docs: DataFrame, learnt: DataFrame, ranges: int) -> DataFrame:
+    """The strings of 50 bytes of each mixed kind, from the group that has its smallest document, with the group's smallest and largest such document."""
 
-def _removed(docs: DataFrame, learnt: DataFrame, resolved: DataFrame) -> DataFrame:
-    """Results of the documents of all groups."""
-    answers = learnt.select("grp", "anchors", "pointers", "low", "mixed", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("lows"))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grp = batch.column(0).to_numpy()
-            order = np.argsort(grp, kind="stable")
-            heads = np.flatnonzero(np.append(True, np.diff(grp[order]) != 0)) if len(grp) else np.zeros(0, np.int64)
-            parts = np.split(order, heads[1:]) if len(heads) else []
-            g, low = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            none = pa.nulls(len(parts), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(grp[order][heads], pa.int32()), none, none, none, none, pa.array([g[x].tobytes() for x in parts], pa.binary()), pa.array([low[x].tobytes() for x in parts], pa.binary())], names=["grp", "anchors", "pointers", "low", "mixed", "grams", "lows"])
-
-    fine = resolved.select("grp", "gram", "low").mapInArrow(pack, "grp int, anchors binary, pointers binary, low binary, mixed binary, grams binary, lows binary")
-    answers = answers.union(fine)
-
-    def cover(left: pa.Table, right: pa.Table) -> pa.Table:
+    def show(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = ["range", "grp", "grams", "ids", "more"]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=names)
         blocks, ids = _group_blocks(left)
-        rows, kind, own = _kinds(blocks, ids)
-        has = lambda name: [x for x in right.column(name).to_pylist() if x is not None]
-        anchors, pointer = (np.frombuffer(b"".join(has(c)), "<u8") for c in ("anchors", "pointers"))
-        low, mixed = np.frombuffer(b"".join(has("low")), "<i8"), np.frombuffer(b"".join(has("mixed")), "u1")
-        at = _lookup(blocks, rows, anchors, pointer)
-        known = at >= 0
-        smallest = np.minimum(own, np.where(known, low[np.maximum(at, 0)] if len(low) else NONE, NONE))  # of a kind, over all groups
-        split = known & (mixed[np.maximum(at, 0)] > 0 if len(mixed) else False)
-        b = blocks.bytes
-        gone = np.zeros(len(b) + 1, np.int64)
-        doc_ids = ids[blocks.doc] if len(blocks.doc) else np.zeros(0, np.int64)
-        whole = smallest[kind] < doc_ids
-        np.add.at(gone, blocks.first[whole], 1)
-        np.add.at(gone, blocks.last[whole] + SPAN, -1)
-        rest = np.flatnonzero(~whole & split[kind])
-        grams, lows = (np.frombuffer(b"".join(has(c)), "<i8") for c in ("grams", "lows"))
-        if len(rest) and len(grams):
-            order = np.argsort(grams, kind="stable")
-            grams, lows = grams[order], lows[order]
-            many = blocks.last[rest] - blocks.first[rest] + 1
-            place = np.repeat(blocks.first[rest] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            mine = pointers(b, (SPAN,))[SPAN][place].view(np.int64)
-            hit = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
-            ok = (grams[hit] == mine) & (lows[hit] < np.repeat(doc_ids[rest], many))
-            np.add.at(gone, place[ok], 1)
-            np.add.at(gone, place[ok] + SPAN, -1)
-        covered = np.cumsum(gone[:-1]) > 0
-        step = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
-        begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        owner = np.repeat(np.arange(len(texts)), sizes)
-        inside = owner[: len(low)] == owner[SPAN - 1 : SPAN - 1 + len(low)]
-        new = np.ones(len(low), bool)
-        new[1:] = (anchor_at[1:] != anchor_at[:-1]) | ~inside[:-1]
-        heads = np.flatnonzero(new & inside)
-        ends = np.append(np.flatnonzero(new | ~inside), len(low))
-        last = ends[np.searchsorted(ends, heads, side="right")] - 1
-        self.first, self.last = heads, last  # both are starting places
-        self.doc = owner[heads]
-        self.anchor = gram[anchor_at[heads]]
-        reach = p[SPAN]
-        self.pointer = _mix(_mix(reach[heads] * _PRIME + reach[last]) * _PRIME + (last - heads).astype(np.uint64) * np.uint64(64) + (anchor_at[heads] - heads).astype(np.uint64))
-
-
-def _raw(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "replace")
-
-
-def _kinds(blocks: Blocks, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows (of blocks) of one representative for each kind, each block's kind, and each kind's smallest id."""
-    order = np.lexsort((ids[blocks.doc], blocks.pointer, blocks.anchor))
-    a, p = blocks.anchor[order], blocks.pointer[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1])
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    rows = order[new]
-    return rows, kind, ids[blocks.doc[rows]]
-
-
-def _group_blocks(table: pa.Table | pa.RecordBatch) -> tuple[Blocks, np.ndarray]:
-    """Blocks of a group's documents with an id, in order of their rows."""
-    texts = [_raw(t) if i is not None else b"" for t, i in zip(table.column("text").to_pylist(), table.column("doc_id").to_pylist())]
-    ids = np.array([NONE if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
-    return Blocks(texts), ids
-
-
-def _u64(column: pa.Array, dtype="<u8") -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype)
-
-
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-
-
-def _result(ids, texts: list[str | None], spans: list[np.ndarray]) -> pa.Table:
-    """Result rows of documents and the byte ranges of each that go."""
-    size, gone, digest, kept = [], [], [], []
-    for t, own in zip(texts, spans):
-        b, parts, at = _raw(t), [], 0
-        for x, y in own.tolist():
-            parts.append(b[at:x])
-            at = y
-        k = b"".join([*parts, b[at:]])
-        size.append(len(b))
-        gone.append(len(b) - len(k))
-        digest.append(hashlib.sha256(k).hexdigest())
-        kept.append(k.decode("utf-8", "replace"))
-    return pa.table({"doc_id": ids, "n_bytes": pa.array(size, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_spans": pa.array([len(x) for x in spans], pa.int64()), "kept_sha256": pa.array(digest, pa.string()), "kept": pa.array(kept, pa.string())})
-
-
-_KINDS = "range int, grp int, anchors binary, pointers binary, ids binary"
-
-
-def _sent(docs: DataFrame, ranges: int) -> DataFrame:
-    """Of each group the kinds of its blocks, packed by range of anchors."""
-
-    def send(table: pa.Table) -> pa.Table:
-        blocks, ids = _group_blocks(table)
         rows, _, low = _kinds(blocks, ids)
-        anchors, pointer = blocks.anchor[rows], blocks.pointer[rows]
-        part = (anchors >> np.uint64(40)).astype(np.int64) % ranges  # anchors are sorted; a range takes every so many
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(ranges + 1))
-        own = [order[cuts[k] : cuts[k + 1]] for k in range(ranges)]
-        full = [k for k in range(ranges) if len(own[k])]
-        blob = lambda x, kind: pa.array([x[own[k]].astype(kind).tobytes() for k in full], pa.binary())
-        grp = table.column("grp")[0].as_py()
-        return pa.table({"range": pa.array(full, pa.int32()), "grp": pa.array([grp] * len(full), pa.int32()), "anchors": blob(anchors, "<u8"), "pointers": blob(pointer, "<u8"), "ids": blob(low, "<i8")})
-
-    return docs.groupBy("grp").applyInArrow(send, _KINDS)
+        anchors, pointer, _, mixed = _answers(right)
+        at = _lookup(blocks, rows, anchors, pointer)
+        pick = np.flatnonzero(at >= 0)
+        pick = pick[mixed[at[pick]]]
+        many = blocks.last[rows[pick]] - blocks.first[rows[pick]] + 1
+        place = np.repeat(blocks.first[rows[pick]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        gram, own = blocks.grams[place], np.repeat(low[pick], many)
+        order = np.lexsort((own, gram))
+        gram, own = gram[order], own[order]
+        new = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
+        last = np.append(new[1:], len(gram)) - 1 if len(gram) else new
+        gram, least, most = gram[new], own[new], own[last]
+        full, blobs = _dealt((gram % np.uint64(ranges)).astype(np.int64), ranges, [(gram, 8), (least, 8), (most - least, 8)])
+        return pa.table([pa.array(full, pa.int32()), pa.array([left.column("grp")[0].as_py()] * len(full), pa.int32()), *blobs], names=names)
+
+    return docs.groupBy("grp").cogroup(learnt.groupBy("grp")).applyInArrow(show, "range int, grp int, grams binary, ids binary, more binary")
 
 
-def _learnt(sent: DataFrame) -> DataFrame:
-    """Back to each group: kinds found in a smaller document elsewhere (`low`), and kinds whose bucket has others (`mixed`)."""
+def _resolved(shown: DataFrame) -> DataFrame:
+    """(grp, grams, lows): strings of mixed kinds that a document smaller than one of the group's has, and the smallest such."""
 
     def meet(table: pa.Table) -> pa.Table:
-        anchors, pointer, ids = _u64(table.column("anchors")), _u64(table.column("pointers")), _u64(table.column("ids"), "<i8")
-        sizes = np.array([len(x) // 8 for x in table.column("anchors").to_pylist()], np.int64)
+        gram, least, more = (_planes(table.column(c).to_pylist(), 8) for c in ("grams", "ids", "more"))
+        least, most = least.view("<i8"), (least + more).view("<i8")
+        sizes = np.array([len(x) // 8 for x in table.column("grams").to_pylist()], np.int64)
         source = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((ids, pointer, anchors))
-        a, p = anchors[order], pointer[order]
-        new_a = np.ones(len(order), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new_k = new_a.copy()
-        new_k[1:] |= p[1:] != p[:-1]
-        kind = np.cumsum(new_k) - 1
-        low = ids[order][new_k][kind]  # smallest document of the kind
-        kinds_of_bucket = np.bincount(np.cumsum(new_a) - 1, new_k)[np.cumsum(new_a) - 1]
-        mixed = kinds_of_bucket > 1
-        # Only the sender with the smallest document shows a mixed kind's bytes; all others learn where it stands.
-        told = (low < ids[order]) | mixed
-        rows = order[told]
-        back = np.lexsort((anchors[rows], source[rows]))
-        rows = rows[back]
-        low, mixed = low[told][back], mixed[told][back]
-        cuts = np.searchsorted(source[rows], np.arange(len(sizes) + 1))
-        full = [k for k in range(len(sizes)) if cuts[k + 1] > cuts[k]]
-        blob = lambda x, kind: pa.array([x[cuts[k] : cuts[k + 1]].astype(kind).tobytes() for k in full], pa.binary())
+        order = np.lexsort((least, gram))
+        new = np.append(True, gram[order][1:] != gram[order][:-1])
+        low = least[order][new][np.cumsum(new) - 1]
+        told = low < most[order]
+        rows, low = order[told], low[told]
+        back = np.lexsort((gram[rows], source[rows]))
+        full, blobs = _dealt(source[rows][back], len(sizes), [(gram[rows][back], 8), (low[back], 8)])
         groups = table.column("grp").to_pylist()
-        return pa.table({"grp": pa.array([groups[k] for k in full], pa.int32()), "anchors": blob(anchors[rows], "<u8"), "pointers": blob(pointer[rows], "<u8"), "low": blob(low, "<i8"), "mixed": blob(mixed, "u1")})
+        return pa.table([pa.array([groups[k] for k in full], pa.int32()), *blobs], names=["grp", "grams", "lows"])
 
-    return sent.groupBy("range").applyInArrow(meet, "grp int, anchors binary, pointers binary, low binary, mixed binary")
-
-
-def _lookup(blocks: Blocks, rows: np.ndarray, anchors: np.ndarray, pointer: np.ndarray) -> np.ndarray:
-    """For each kind (a row of blocks) its place among the answers, or -1."""
-    want = np.stack([blocks.anchor[rows], blocks.pointer[rows]], 1).view([("a", "<u8"), ("p", "<u8")]).ravel()
-    have = np.stack([anchors, pointer], 1).astype("<u8").view([("a", "<u8"), ("p", "<u8")]).ravel()
-    order = np.argsort(have, order=("a", "p"))
-    at = np.searchsorted(have[order], want)
-    at = np.minimum(at, max(0, len(have) - 1))
-    found = (have[order[at]] == want) if len(have) else np.zeros(len(want), bool)
-    return np.where(found, order[at] if len(have) else 0, -1)
-
-
-def _shown(docs: DataFrame, learnt: DataFrame) -> DataFrame:
-    """Strings of mixed kinds: (gram, id, grp) of every 50 bytes of each kind that a group alone has smallest; all groups with a mixed kind ask."""
-
-    def show(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {"anchor": pa.array([], pa.int64()), "grp": pa.array([], pa.int32()), "grams": pa.array([], pa.binary()), "id": pa.array([], pa.int64())}
-        if left.num_rows and right.num_rows:
-            blocks, ids = _group_blocks(left)
-            rows, _, low = _kinds(blocks, ids)
-            at = _lookup(blocks, rows, _u64(right.column("anchors")), _u64(right.column("pointers")))
-            mixed = _u64(right.column("mixed"), "u1")
-            pick = np.flatnonzero((at >= 0) & (mixed[np.maximum(at, 0)] > 0))
-            grams = pointers(blocks.bytes, (SPAN,))[SPAN] if len(blocks.bytes) >= SPAN else np.zeros(0, np.uint64)
-            show = [grams[blocks.first[r] : blocks.last[r] + 1].astype("<u8").tobytes() for r in rows[pick]]
-            out = {"anchor": pa.array(blocks.anchor[rows[pick]].view(np.int64)), "grp": pa.array([left.column("grp")[0].as_py()] * len(pick), pa.int32()), "grams": pa.array(show, pa.binary()), "id": pa.array(low[pick])}
-        return pa.table(out)
-
-    return docs.groupBy("grp").cogroup(learnt.groupBy("grp")).applyInArrow(show, "anchor long, grp int, grams binary, id long")
-
-
-def _resolved(shown: DataFrame) -> DataFrame:
-    """(grp, gram, low): for strings of mixed kinds the smallest document that has them, where it is smaller than the group's own."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            blobs = batch.column(1).to_pylist()
-            sizes = [len(x) // 8 for x in blobs]
-            grams = np.frombuffer(b"".join(blobs), "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(batch.column(0).to_pylist(), np.int32), sizes)), pa.array(grams), pa.array(np.repeat(np.array(batch.column(2).to_pylist(), np.int64), sizes))], names=["grp", "gram", "id"])
-
-    own = shown.select("grp", "grams", "id").mapInArrow(cut, "grp int, gram long, id long").groupBy("grp", "gram").agg(F.min("id").alias("id"), F.max("id").alias("top"))
-    own = written(own, "suffix-strings")
-    least = own.groupBy("gram").agg(F.min("id").alias("low"), F.max("top").alias("high")).filter("low < high").select("gram", "low")
-    return own.join(least, "gram").select("grp", "gram", "low")
+    return shown.groupBy("range").applyInArrow(meet, "grp int, grams binary, lows binary")
 
 
 def _removed(docs: DataFrame, learnt: DataFrame, resolved: DataFrame) -> DataFrame:
     """Results of the documents of all groups."""
     answers = learnt.select("grp", "anchors", "pointers", "low", "mixed", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("lows"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grp = batch.column(0).to_numpy()
-            order = np.argsort(grp, kind="stable")
-            heads = np.flatnonzero(np.append(True, np.diff(grp[order]) != 0)) if len(grp) else np.zeros(0, np.int64)
-            parts = np.split(order, heads[1:]) if len(heads) else []
-            g, low = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            none = pa.nulls(len(parts), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(grp[order][heads], pa.int32()), none, none, none, none, pa.array([g[x].tobytes() for x in parts], pa.binary()), pa.array([low[x].tobytes() for x in parts], pa.binary())], names=["grp", "anchors", "pointers", "low", "mixed", "grams", "lows"])
-
-    fine = resolved.select("grp", "gram", "low").mapInArrow(pack, "grp int, anchors binary, pointers binary, low binary, mixed binary, grams binary, lows binary")
-    answers = answers.union(fine)
+    none = [F.lit(None).cast("binary").alias(c) for c in ("anchors", "pointers", "low", "mixed")]
+    answers = answers.union(resolved.select("grp", *none, "grams", "lows"))
 
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
         blocks, ids = _group_blocks(left)
         rows, kind, own = _kinds(blocks, ids)
-        has = lambda name: [x for x in right.column(name).to_pylist() if x is not None]
-        anchors, pointer = (np.frombuffer(b"".join(has(c)), "<u8") for c in ("anchors", "pointers"))
-        low, mixed = np.frombuffer(b"".join(has("low")), "<i8"), np.frombuffer(b"".join(has("mixed")), "u1")
+        anchors, pointer, low, mixed = _answers(right)
         at = _lookup(blocks, rows, anchors, pointer)
-        known = at >= 0
-        smallest = np.minimum(own, np.where(known, low[np.maximum(at, 0)] if len(low) else NONE, NONE))  # of a kind, over all groups
-        split = known & (mixed[np.maximum(at, 0)] > 0 if len(mixed) else False)
+        known = np.flatnonzero(at >= 0)
+        smallest, split = own.copy(), np.zeros(len(rows), bool)  # of a kind, over all groups
+        smallest[known] = np.minimum(own[known], low[at[known]])
+        split[known] = mixed[at[known]]
         b = blocks.bytes
         gone = np.zeros(len(b) + 1, np.int64)
         doc_ids = ids[blocks.doc] if len(blocks.doc) else np.zeros(0, np.int64)
@@ -508,13 +323,14 @@ def _removed(docs: DataFrame, learnt: DataFrame, resolved: DataFrame) -> DataFra
         np.add.at(gone, blocks.first[whole], 1)
         np.add.at(gone, blocks.last[whole] + SPAN, -1)
         rest = np.flatnonzero(~whole & split[kind])
-        grams, lows = (np.frombuffer(b"".join(has(c)), "<i8") for c in ("grams", "lows"))
+        grams, lows = (_planes([x for x in right.column(c).to_pylist() if x is not None], 8) for c in ("grams", "lows"))
+        lows = lows.view("<i8")
         if len(rest) and len(grams):
             order = np.argsort(grams, kind="stable")
             grams, lows = grams[order], lows[order]
             many = blocks.last[rest] - blocks.first[rest] + 1
             place = np.repeat(blocks.first[rest] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            mine = pointers(b, (SPAN,))[SPAN][place].view(np.int64)
+            mine = blocks.grams[place]
             hit = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
             ok = (grams[hit] == mine) & (lows[hit] < np.repeat(doc_ids[rest], many))
             np.add.at(gone, place[ok], 1)
@@ -522,7 +338,6 @@ def _removed(docs: DataFrame, learnt: DataFrame, resolved: DataFrame) -> DataFra
         covered = np.cumsum(gone[:-1]) > 0
         step = np.diff(np.concatenate([[0], covered.astype(np.int8), [0]]))
         begin, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-        owner = np.searchsorted(blocks.begins, begin, side="right") - 1
         owner = np.repeat(np.arange(len(ids)), np.diff(np.append(blocks.begins, len(b))))
         # A run goes on past the end of a document only on paper.
         cut_at = np.flatnonzero(covered[1:] & covered[:-1] & (owner[1:] != owner[:-1])) + 1 if len(b) else np.zeros(0, np.int64)
@@ -546,8 +361,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     takes_part = F.coalesce(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN), F.lit(False))
     keyed = rows.filter(takes_part).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     dealt = bucketed(keyed, "grp", max(8, groups // 4))
-    learnt = durable(_learnt(_sent(dealt, int(ranges))))
-    found = _removed(dealt, learnt, _resolved(_shown(dealt, learnt)))
+    learnt = written(_learnt(_sent(dealt, int(ranges))), "suffix-kinds")
+    found = _removed(dealt, learnt, _resolved(_shown(dealt, learnt, int(ranges))))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches, "text"):
