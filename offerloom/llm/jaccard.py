@@ -8,8 +8,9 @@ copies needs all its pairs.
 1. One scan gives each document its set size, a digest of its set, a count
    vector (shingles hashed into 64 groups) and a few minima. Equal digests are
    one class from here on; a class is known by its smallest id.
-2. Classes that share a minimum are compared with the smallest of them, and the
-   links found are contracted. This costs a few pairs per document and folds
+2. Of the smallest classes with which a class shares a minimum, the one with most
+   shared minima is compared with it, and the links found are contracted. This
+   costs a pair per document at most and folds
    large groups of near copies into one component each.
 3. The rest is exact. Every pair at the threshold shares one of the rarest
    n - ceil(0.75 n) + 1 shingles of each side, so classes meet there. Shingles
@@ -306,7 +307,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     # Near copies first: everyone with a shared minimum against the smallest of them.
     keyed = classes.select("id", F.explode("minima").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("many")).filter("many > 1")
-    stars = keyed.join(hubs, "key").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    shared = keyed.join(hubs, "key").filter("id <> a").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("minima"))
+    stars = shared.groupBy("b").agg(F.max_by("a", F.struct("minima", -F.col("a"))).alias("a")).select("a", "b")
     same = owned.join(classes.select("digest", F.col("id").alias("a")), "digest").filter("id <> a").select("a", F.col("id").alias("b"))
     coarse = durable(components(_verified(*args, stars, words).union(same)))
     # Then the exact rest between components.
