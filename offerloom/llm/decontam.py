@@ -1,17 +1,19 @@
-"""Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
-
-1. Document frequencies of all word 3-grams of the benchmark are counted over
-   the whole corpus. A bitmap of fixed size, built from the benchmark, lets a
-   scan drop nearly all other n-grams where they arise; it has no false
-   negatives, so it loses nothing when the benchmark outgrows it.
-2. Of every three neighbouring 3-grams of an item the rarest one becomes a
-   seed. Rarity is relative to the neighbours: an item copied into a third of
-   the corpus keeps its seeds, and five words left intact always hold one.
-3. A second scan finds seeds in the documents and cuts out the words around
-   them; a join on the seed pairs these passages with items.
+"""Benchmark decontamination by n-gram seeds and Smith-Waterman alignment.
+
+1. All word 3-grams of the benchmark are seeds. Which of them an edit destroys
+   is not known beforehand, and the rarest are the likeliest, so none is left
+   out: three words left intact are found.
+2. A scan finds seeds in the documents and cuts out the words around them. A
+   bitmap of fixed size, built from the benchmark, lets it drop nearly all other
+   n-grams where they arise; it has no false negatives, so it loses nothing when
+   the benchmark outgrows it.
+3. A join on the seed pairs these passages with items.
 4. Each pair is aligned by Smith-Waterman over words (match 2, mismatch and gap
    -1), after a test that the words in common could reach the threshold at all.
 
+A copy without three words in a row intact is not found, though its alignment
+may reach the threshold (a word put in after every other one).
+
 The result has one row per document and item whose best local alignment reaches
 `threshold` of a perfect one over the item (over 60 words of a longer item):
 the score, and the first word and the end of the copy in the document.
@@ -31,13 +33,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.llm.arrow import slices
 from offerloom.llm.durable import durable
 
-N, SPREAD = 3, 3  # words in a seed; neighbouring n-grams of which the rarest is taken
+N = 3  # words in a seed
 THRESHOLD, LONG = 0.5, 60  # share of a perfect alignment, over at most so many words
 MARGIN, GAP, SPAN = 75, 30, 120  # words cut out around seeds; largest gap and extent of one passage
 BITS = 1 << 24
@@ -111,27 +113,6 @@ def item_grams(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return items.select(F.col(id_col).alias("item"), F.col(text_col).alias("_text")).mapInArrow(scan, f"item {kind}, place int, gram long")
 
 
-def seeds(docs: DataFrame, grams: DataFrame, text_col: str) -> DataFrame:
-    """(gram, item, place): of every SPREAD neighbouring n-grams of an item the one in fewest documents."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(grams))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = WordKeys()
-        for _, texts in slices(batches, "_text"):
-            found = []
-            for t in texts:
-                g = _keys_of(t, keys)[1]
-                found.append(np.unique(g[_known(bits.value, g)]))
-            gram, n = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(n.astype(np.int64))], names=["gram", "n"])
-
-    df = docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("df"))
-    counted = grams.join(df, "gram")  # an n-gram in no document seeds nothing
-    ahead = Window.partitionBy("item").orderBy("place").rowsBetween(0, SPREAD - 1)
-    near = F.min(F.struct("df", "place", "gram")).over(ahead)
-    return counted.select("item", near.alias("s")).select(F.col("s.gram").alias("gram"), "item", F.col("s.place").alias("place")).distinct()
-
-
 def passages(docs: DataFrame, seeded: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc, start, words, grams): stretches of documents around seeds; `start` is the place of the first word."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(seeded))
@@ -215,10 +196,10 @@ def verify(pairs: DataFrame, threshold: float) -> DataFrame:
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and benchmark item that the document holds a copy of."""
-    grams = item_grams(items, item_col, item_text_col)
-    seeded = durable(seeds(docs, grams, text_col))
-    found = passages(docs, seeded, id_col, text_col).select("doc", "start", "words", F.explode("grams").alias("gram"))
-    pairs = found.join(seeded, "gram").groupBy("doc", "start", "words", "item").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    seeded = durable(item_grams(items, item_col, item_text_col).distinct())
+    cut = durable(passages(docs, seeded, id_col, text_col).withColumn("passage", F.monotonically_increasing_id()))
+    found = cut.select("passage", F.explode("grams").alias("gram")).join(seeded, "gram").groupBy("passage", "item").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    pairs = found.join(cut.select("passage", "doc", "start", "words"), "passage")
     texts = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
     scored = verify(pairs.join(texts, "item"), threshold)
     best = F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"), -F.col("end_word"))).alias("b")

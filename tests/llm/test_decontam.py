@@ -53,3 +53,13 @@ def test_edited_copies_and_edge_rows(spark):
     got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, items).collect()}
     assert set(got) == {(1, 7), (2, 7), (None, 7)} and got[1, 7].score == 1 and got[1, 7].first_word == 3000 and got[1, 7].end_word == 3040
     assert decontam.contaminated(docs.limit(0), items).count() == 0 and decontam.contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_edited_copy_beside_a_verbatim_one(spark):
+    """Every fourth word changed: the n-grams that are left are not the rarest of their neighbours."""
+    item = [f"w{k}" for k in range(15)]
+    edited = [w if k % 4 != 2 else f"other{k}" for k, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(edited))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id: r.score for r in decontam.contaminated(docs, items).collect()}
+    assert got == {1: 1.0, 2: brute(item, edited) / 30} and got[2] >= 0.5
