@@ -7,18 +7,35 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.durable import durable
 
+SHARE = 500  # a key with more than this part of all rows is looked up in a broadcast table, which has at most so many rows
+
+
+def share_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", keep: bool = False) -> DataFrame:
+    """Joins `one` (a row for each key, `w` saying how many rows of `many` have it) to `many` without gathering a hot key.
+
+    Keys that hold more than 1 / SHARE of all rows are fewer than SHARE, so they
+    are broadcast; the rows of all others are shuffled. `keep` leaves w in.
+    """
+    total = one.agg(F.sum("w")).first()[0] or 0
+    hot = one.filter(F.col("w") > total / SHARE)
+    names = [c for c in one.columns if c not in (key, "w") or (keep and c == "w")]
+    marked = many.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_{c}") for c in names])), key, "left")
+    first = marked.filter("_hot").select(*many.columns, *[F.col(f"_{c}").alias(c) for c in names])
+    rest = marked.filter("_hot is null").select(*many.columns).join(one.filter(F.col("w") <= total / SHARE).select(key, *names), key, how)
+    return first.union(rest.select(*first.columns))
+
 
 def _large(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node goes to the smallest node around it."""
     both = edges.union(edges.select("b", "a")).toDF("u", "v")
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(low, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
+    low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("w")))
+    return share_join(both, low, "u").filter("v > u").select(F.col("m").alias("a"), F.col("v").alias("b"))
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node and its neighbours below go to the smallest of those."""
-    low = edges.groupBy("b").agg(F.min("a").alias("m"))
-    down = edges.join(low, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
+    low = durable(edges.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("w")))
+    down = share_join(edges, low, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
     return down.union(low.select("m", "b")).filter("a < b")
 
 
@@ -32,7 +49,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = durable(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     state = None
     while True:
-        now = durable(_small(_large(now)).distinct())
+        now = durable(_small(durable(_large(now).distinct())).distinct())
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if mark == state:
             return now.select(F.col("b").alias("node"), F.col("a").alias("component")).union(now.select("a", "a").distinct())
