@@ -60,7 +60,7 @@ TABLE = 1 << 16  # hashed counts that order coordinates by rarity
 TILE, FAN = 1024, 8  # points compared in one task, and under one R-tree node
 FRONT = 1 << 17  # pairs of boxes looked at together
 CACHE = 300_000  # distinct words whose keys a worker keeps
-BLOCK_BYTES = 8_000_000  # text of which a worker sends each fine group once
+BLOCK_BYTES = 4_000_000  # text of which a worker sends each fine group once
 RANGE_BYTES = 16_000_000  # text whose fine groups meet in one range, about
 FINE = 40  # bits of a fine group within its range
 KEY = 12  # bytes of a class's digest
@@ -243,7 +243,7 @@ def _entries(table: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray, np.nd
     many = np.concatenate([_numbers(r[2], 4) for r in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
     value = np.concatenate([_numbers(r[3], width) for r in rows]) if rows else np.zeros(0, np.uint64)
     two = np.ascontiguousarray(np.pad(key, ((0, 0), (0, 16 - KEY)))).view("<u8")
-    return value, np.repeat(np.arange(len(key)), many), two
+    return value, np.repeat(np.arange(len(key), dtype=np.int32), many), two
 
 
 def _repeated(sent: DataFrame, ranges: int) -> DataFrame:
@@ -257,10 +257,12 @@ def _repeated(sent: DataFrame, ranges: int) -> DataFrame:
         order = np.argsort(value, kind="stable")
         value, own = value[order], own[order]
         head = np.append(True, value[1:] != value[:-1])
-        run = np.cumsum(head) - 1
-        differs = np.append(False, (two[own[1:]] != two[own[:-1]]).any(1)) & ~head
+        run = np.cumsum(head, dtype=np.int32) - 1
         nobody = ~two.any(1)
-        told = np.bincount(run, differs | nobody[own], minlength=run[-1] + 1) > 0
+        told = np.zeros(run[-1] + 1, bool)
+        told[run[nobody[own]]] = True
+        again = np.flatnonzero(~head)
+        told[run[again[(two[own[again]] != two[own[again - 1]]).any(1)]]] = True
         tell = np.flatnonzero(told[run] & ~nobody[own])
         key = two.view(np.uint8).reshape(-1, 16)[:, :KEY]
         token = (np.uint64(place) << np.uint64(FINE)) | value[tell]

@@ -6,11 +6,13 @@ the corpus:
 
 1. large lengths are sorted and cut into groups of equal cardinality, and each
    is rounded up to the longest of its group, which leaves few sizes;
-2. configurations of those sizes are optimised: the largest size left is put
-   into a sequence and an exact subset-sum over the others fills the rest; the
-   configuration is used as often as the counts allow;
-3. the actual lengths of each group replace the rounded ones, longest first,
-   which frees what rounding had added;
+2. the fewest sequences over all configurations of those sizes are found by
+   column generation (a linear program whose columns come from a knapsack) and
+   rounded down; what is left, less than a sequence for each size, is filled
+   largest first with an exact subset sum;
+3. the actual lengths of each group replace the rounded ones, longest first;
+   sequences that rounding left loose are taken apart and their lengths filled
+   exactly, each being its own size;
 4. small lengths go where they fit best, and open new sequences at the end.
 
 The plan says which ranks of each length take which places. The pieces get
@@ -28,6 +30,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +41,13 @@ from offerloom.llm.arrow import slices
 from offerloom.llm.durable import durable
 
 CAPACITY, END = 1024, 2
-SMALL = 64  # lengths below are packed last, by best fit
-GROUPS = 512  # sizes left after rounding
-PER_SALT = 50_000  # pieces ranked together in a task, about
-CACHE = 300_000  # distinct words whose ids a worker keeps
+SMALL = 128  # lengths below are packed last, by best fit
+GROUPS = 32  # sizes left after rounding
+ROUNDS, SLACK = 1, 2  # times that loose sequences are grouped anew; what a sequence that stays may lack
+STEPS = 2_000  # configurations that may enter the optimum; it is reached long before
+PER_SALT = 4_000  # pieces of a length ranked together, about
+CACHE = 500_000  # distinct words whose ids a worker keeps
+JOINED = 256  # words given to the tokenizer in one string
 #: Up to this character the word pattern below is known to cut as the tokenizer does; other texts are given to it whole.
 PLAIN = 0x24F
 
@@ -54,30 +60,64 @@ def _pattern() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(word), re.compile(f"[^\x00-{chr(PLAIN)}]|<\\|endoftext\\|>")
 
 
-class Words(dict):
-    """Ids of words as little-endian unsigned 32-bit numbers, by the tokenizer."""
+class Words:
+    """Ids of texts by the tokenizer, which is asked once for each distinct word."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.word, self.odd = _pattern()
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = ids = self.whole(word)
-        return ids
-
-    def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.odd.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, self.word.findall(text)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.store, self.many = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+
+    def _learn(self, words: list[str]) -> None:
+        joined = [w for w in words if w[0] == " " and w[1:].isalpha()]  # end to end, the tokenizer cuts them as they are
+        single = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        ids, many = [], []
+        for found in self.tokenizer.encode_batch(["".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)], add_special_tokens=False):
+            ids.append(np.array(found.ids, "<u4"))
+            many.append(np.bincount(found.word_ids))
+        found = [x.ids for x in self.tokenizer.encode_batch(single, add_special_tokens=False)]
+        many.append(np.fromiter(map(len, found), np.int64, len(found)))
+        ids.append(np.fromiter(chain.from_iterable(found), "<u4", many[-1].sum()))
+        self.number.update(zip(joined + single, range(len(self.number), len(self.number) + len(words))))
+        self.store, self.many = np.concatenate([self.store, *ids]), np.concatenate([self.many, *many])
+        self.begin = np.cumsum(self.many) - self.many
+
+    def _plain(self, text: str) -> bool:
+        """Whether the word pattern cuts the text as the tokenizer does."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return not self.odd.search(text)
+        return "<|endoftext|>" not in text
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if len(self.number) > CACHE:
+            self.forget()
+        words, counts, whole = [], [], []
+        for i, text in enumerate(texts):
+            before = len(words)
+            if text and self._plain(text):
+                words += self.word.findall(text)
+            elif text:
+                whole.append(i)
+            counts.append(len(words) - before)
+        self._learn(list(set(words).difference(self.number)))
+        at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        many = self.many[at]
+        ends = np.cumsum(many)
+        ids = self.store[np.repeat(self.begin[at] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.append(0, ends)[np.append(0, np.cumsum(counts))]
+        out = [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
+        for i, found in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
+            out[i] = np.array(found.ids, "<u4")
+        return out
 
 
 def tokenizer_path() -> str:
@@ -95,23 +135,23 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(path or tokenizer_path())
-        end = np.array([END], "<u4").tobytes()
+        end = np.array([END], "<u4")
         for part, texts in slices(batches, "_text"):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(texts):
-                data = words.ids(text) + end
-                n = len(data) // 4
+            for i, own_ids in enumerate(words(texts)):
+                data = np.append(own_ids, end)
+                n = len(data)
                 first = n % capacity or capacity
                 for k, a in enumerate([0, *range(first, n, capacity)]):
                     b = first if k == 0 else a + capacity
-                    own = data[4 * a : 4 * b]
+                    own = data[a:b]
                     row.append(i)
                     piece.append(k)
                     start.append(a)
                     length.append(b - a)
-                    crc.append(zlib.crc32(own))
+                    crc.append(zlib.crc32(own.data))
                     if with_ids:
-                        ids.append(np.frombuffer(own, "<u4").astype(np.int32))
+                        ids.append(own.astype(np.int32))
             columns = [part.column(1).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = ["id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
@@ -124,8 +164,70 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("id")).mapInArrow(cut, schema).withColumnRenamed("id", id_col)
 
 
+def fill(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> np.ndarray:
+    """How many of each size make the most worth within the capacity (unbounded knapsack)."""
+    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for room in range(1, capacity + 1):
+        best[room] = best[room - 1]
+        fits = sizes <= room
+        if fits.any():
+            gain = np.where(fits, best[room - np.minimum(sizes, room)] + worth, -1.0)
+            k = int(gain.argmax())
+            if gain[k] > best[room] + 1e-12:
+                best[room], last[room] = gain[k], k
+    out, room = np.zeros(len(sizes), np.int64), capacity
+    while room > 0:
+        if last[room] < 0:
+            room -= 1
+        else:
+            out[last[room]] += 1
+            room -= sizes[last[room]]
+    return out
+
+
+def optimum(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Configurations (columns) and how often to use each, in fractions, so that the fewest sequences hold all items.
+
+    Column generation: the duals of the present basis price a knapsack, whose
+    best filling enters the basis while it is worth more than one sequence.
+    """
+    columns = np.diag(capacity // sizes).astype(float)
+    for _ in range(STEPS):
+        inverse = np.linalg.inv(columns)
+        level = inverse @ counts
+        entering = fill(sizes, inverse.sum(0), capacity)
+        if inverse.sum(0) @ entering <= 1 + 1e-7:
+            break
+        rate = inverse @ entering
+        ratio = np.where(rate > 1e-9, np.maximum(level, 0) / np.where(rate > 1e-9, rate, 1), np.inf)
+        leaving = int(ratio.argmin())
+        if not np.isfinite(ratio[leaving]):
+            break
+        columns[:, leaving] = entering
+    return columns.astype(np.int64), np.maximum(np.linalg.inv(columns) @ counts, 0)
+
+
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[int]]]:
-    """How often to use which configuration (indices into descending sizes) so that all items are used."""
+    """How often to use which configuration (indices into descending sizes) so that all items are used.
+
+    The optimum over fractions is rounded down; the few items left, less than a
+    sequence for each size, are filled one sequence after another, largest first.
+    """
+    left, out = list(counts), []
+    if sizes:
+        columns, level = optimum(np.array(sizes), np.array(counts, float), capacity)
+        for k in np.argsort(-level, kind="stable"):
+            need = {i: int(c) for i, c in enumerate(columns[:, k]) if c}
+            times = min(int(level[k] + 1e-6), *(left[i] // c for i, c in need.items()))
+            if times:
+                out.append((times, [i for i, c in need.items() for _ in range(c)]))
+                for i, c in need.items():
+                    left[i] -= c * times
+    return out + largest_first(sizes, left, capacity)
+
+
+def largest_first(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Configurations of the items left: the largest size, and an exact subset sum over the others."""
     left, out = list(counts), []
     for big in range(len(sizes)):
         while left[big]:
@@ -162,35 +264,27 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[tuple[int, list[int]]]:
-    """Sequences as (how many, lengths in each). Depends on the histogram only."""
-    large = sorted((n for n in histogram if n >= small), reverse=True)
-    total = sum(histogram[n] for n in large)
-    # 1. Groups of equal cardinality; a length may be split between two groups.
-    members: list[list[list[int]]] = []  # of each group: [length, count], longest first
-    held, target = 0, max(1, -(-total // groups))
-    for n in large:
-        count = histogram[n]
+def grouped(large: dict[int, int], groups: int) -> list[list[list[int]]]:
+    """Lengths in groups of equal cardinality as [length, count], longest first; groups that start with the same length are one."""
+    stock: list[list[list[int]]] = []
+    held = target = max(1, -(-sum(large.values()) // groups))
+    for n in sorted(large, reverse=True):
+        count = large[n]
         while count:
-            if not members or held == target:
-                members.append([])
+            if held == target:
                 held = 0
+                if not stock or stock[-1][0][0] != n:
+                    stock.append([])
             take = min(count, target - held)
-            members[-1].append([n, take])
+            stock[-1].append([n, take])
             held += take
             count -= take
-    # 2. Groups that start with the same length are one size.
-    sizes: list[int] = []
-    stock: list[list[list[int]]] = []
-    for group in members:
-        if sizes and sizes[-1] == group[0][0]:
-            stock[-1] += group
-        else:
-            sizes.append(group[0][0])
-            stock.append(group)
-    used = configurations(sizes, [sum(c for _, c in s) for s in stock], capacity)
-    # 3. Actual lengths, longest first; a run of equal sequences splits where one of its lengths changes.
-    rooms: list[list[tuple[int, list[int]]]] = [[] for _ in range(capacity + 1)]
+    return stock
+
+
+def substituted(used: list[tuple[int, list[int]]], stock: list[list[list[int]]]) -> list[tuple[int, list[int]]]:
+    """Actual lengths of each group in place of its size, longest first; a run of equal sequences splits where one of its lengths changes."""
+    out = []
     for s in stock:
         s.reverse()
     for times, own in used:
@@ -208,13 +302,36 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL
             streams.append(stream[::-1])
         while streams[0]:
             run = min(s[-1][1] for s in streams)
-            lengths = [s[-1][0] for s in streams]
+            out.append((run, [s[-1][0] for s in streams]))
             for s in streams:
                 s[-1][1] -= run
                 if not s[-1][1]:
                     s.pop()
-            rooms[capacity - sum(lengths)].append((run, lengths))
-    # 4. Small lengths by best fit, longest first.
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS) -> list[tuple[int, list[int]]]:
+    """Sequences as (how many, lengths in each). Depends on the histogram only."""
+    left = {n: c for n, c in histogram.items() if n >= small and c}
+    done: list[tuple[int, list[int]]] = []
+    for _ in range(ROUNDS):
+        if not left:
+            break
+        stock = grouped(left, groups)
+        used = configurations([s[0][0] for s in stock], [sum(c for _, c in s) for s in stock], capacity)
+        for many, lengths in substituted(used, stock):
+            if sum(lengths) >= capacity - SLACK:
+                done.append((many, lengths))
+                for n in lengths:
+                    left[n] -= many
+        left = {n: c for n, c in left.items() if c}
+    # What rounding left loose is filled exactly, each length being its own size.
+    sizes = sorted(left, reverse=True)
+    done += [(many, [sizes[i] for i in own]) for many, own in largest_first(sizes, [left[n] for n in sizes], capacity)]
+    rooms: list[list[tuple[int, list[int]]]] = [[] for _ in range(capacity + 1)]
+    for many, lengths in done:
+        rooms[capacity - sum(lengths)].append((many, lengths))
+    # Small lengths by best fit, longest first.
     for n in sorted((n for n in histogram if n < small), reverse=True):
         count = histogram[n]
         for room in range(n, capacity + 1):
@@ -257,8 +374,9 @@ def pack(cut: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY) -> Da
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `capacity` rows
     table = places(plan(histogram, capacity))
     found = cut.sparkSession.sparkContext.broadcast(table)  # configurations of at most `capacity` lengths, whatever the corpus
-    salts = max(1, sum(histogram.values()) // PER_SALT)
-    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)))
+    # As many salts as each length's own pieces need.
+    salts = F.array(*[F.lit(1 + histogram.get(n, 0) // PER_SALT) for n in range(1, capacity + 1)])
+    salted = cut.withColumn("_salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.element_at(salts, F.col("length").cast("int")).cast("long")))
     spread = salted.repartition("length", "_salt")
     ranked = spread.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece", "ids_crc32")).cast("long"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
