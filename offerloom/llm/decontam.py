@@ -3,20 +3,25 @@
 1. All word 3-grams of the benchmark are seeds. Which of them an edit destroys
    is not known beforehand, and the rarest are the likeliest, so none is left
    out: three words left intact are found.
-2. A scan finds seeds in the documents and cuts out the words around them. A
-   bitmap of fixed size, built from the benchmark, lets it drop nearly all other
-   n-grams where they arise; it has no false negatives, so it loses nothing when
-   the benchmark outgrows it.
-3. A join on the seed pairs these passages with items.
+2. A scan finds seeds in the documents. A bitmap of fixed size, built from the
+   benchmark, lets it drop nearly all other n-grams where they arise; it has no
+   false negatives, so it loses nothing when the benchmark outgrows it.
+3. A join on the seed pairs documents with items. Only the texts of documents in
+   a pair are read again, which another bitmap picks out.
 4. Each pair is aligned by Smith-Waterman over words (match 2, mismatch and gap
-   -1), after a test that the words in common could reach the threshold at all.
+   -1), the whole item against the passages around its seeds, after a test that
+   the words in common could reach the threshold at all. An alignment with a
+   score above nothing spans at most three words for each of the item, so a
+   passage reaches that far on both sides of a seed and no alignment through a
+   seed is cut.
 
 A copy without three words in a row intact is not found, though its alignment
 may reach the threshold (a word put in after every other one).
 
 The result has one row per document and item whose best local alignment reaches
 `threshold` of a perfect one over the item (over 60 words of a longer item):
-the score, and the first word and the end of the copy in the document.
+the score (share of a perfect alignment over the whole item, 1 at most), and the
+first word and the end of the copy in the document.
 
 Defined results: null and empty texts match nothing; an item of fewer than
 three words is not searched for; rows with the same id, null included, count as
@@ -41,7 +46,7 @@ from offerloom.llm.durable import durable
 
 N = 3  # words in a seed
 THRESHOLD, LONG = 0.5, 60  # share of a perfect alignment, over at most so many words
-MARGIN, GAP, SPAN = 75, 30, 120  # words cut out around seeds; largest gap and extent of one passage
+REACH = 3  # words of a document that an alignment can span for each word of the item
 BITS = 1 << 24
 CACHE = 300_000
 _WORD = re.compile(r"\w+")
@@ -80,14 +85,14 @@ def bucket(keys: np.ndarray) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(40)).astype(np.int64)  # 24 bits
 
 
-def _slot():
+def _slot(key):
     """The same bucket in SQL, from 1."""
-    return F.shiftrightunsigned(F.col("gram"), 40) + 1
+    return F.shiftrightunsigned(key, 40) + 1
 
 
-def bitmap(grams: DataFrame) -> np.ndarray:
-    """Which of BITS buckets hold a gram: 512 rows of 4 KB, whatever the number of grams."""
-    rows = grams.groupBy(F.bitmap_bucket_number(_slot()).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(_slot())).alias("bits")).collect()
+def bitmap(rows: DataFrame, slot) -> np.ndarray:
+    """Which of BITS slots the rows have: 512 rows of 4 KB, whatever the number of rows."""
+    rows = rows.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits")).collect()
     out = np.zeros(BITS // 8, np.uint8)
     for r in rows:
         out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["bits"]), np.uint8)
@@ -113,41 +118,29 @@ def item_grams(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return items.select(F.col(id_col).alias("item"), F.col(text_col).alias("_text")).mapInArrow(scan, f"item {kind}, place int, gram long")
 
 
-def passages(docs: DataFrame, seeded: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, start, words, grams): stretches of documents around seeds; `start` is the place of the first word."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(seeded))
+def hits(docs: DataFrame, seeded: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, gram): the distinct seeds of each document, and by chance a few other n-grams."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(seeded, _slot(F.col("gram"))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = WordKeys()
         for piece, texts in slices(batches, "_text"):
-            row, start, cut, grams = [], [], [], []
-            for i, t in enumerate(texts):
-                own, g = _keys_of(t, keys)
-                at = np.flatnonzero(_known(bits.value, g))
-                k = 0
-                while k < len(at):
-                    j = k
-                    while j + 1 < len(at) and at[j + 1] - at[j] <= GAP and at[j + 1] - at[k] <= SPAN:
-                        j += 1
-                    a, b = max(0, int(at[k]) - MARGIN), int(at[j]) + N + MARGIN
-                    row.append(i)
-                    start.append(a)
-                    cut.append(" ".join(own[a:b]))
-                    grams.append(np.unique(g[at[k : j + 1]]))
-                    k = j + 1
-            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(cut, pa.string()), pa.array(grams, pa.list_(pa.int64()))], names=["doc", "start", "words", "grams"])
+            grams = [_keys_of(t, keys)[1] for t in texts]
+            grams = [np.unique(g[_known(bits.value, g)]) for g in grams]
+            rows = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(rows, pa.int64())), pa.array(np.concatenate(grams))], names=["doc", "gram"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).mapInArrow(scan, f"doc {kind}, start long, words string, grams array<bigint>")
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).mapInArrow(scan, f"doc {kind}, gram long")
 
 
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment of two arrays of word numbers: score, first word and end in the passage.
 
-    A cell holds its score above 20 bits that count down from the place where
+    A cell holds its score above 40 bits that count down from the place where
     its alignment began, so one maximum settles both.
     """
-    shift, low = 20, (1 << 20) - 1
+    shift, low = 40, (1 << 40) - 1
     unit = 1 << shift
     zero = low - np.arange(len(passage) + 1, dtype=np.int64)
     slope = np.arange(len(passage) + 1, dtype=np.int64) * unit
@@ -164,47 +157,71 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int, int]:
     return best >> shift, low - (best & low), end
 
 
+def around(item: np.ndarray, own: np.ndarray, reach: int) -> list[tuple[int, int]]:
+    """Stretches of a document (its n-gram keys) that reach so many words around the seeds of an item."""
+    at = np.flatnonzero(np.isin(own, item))
+    out: list[tuple[int, int]] = []
+    for a, b in zip(np.maximum(at - reach, 0).tolist(), (at + N + reach).tolist()):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    return out
+
+
 def verify(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Scores of pairs (doc, item, text of the document, text of the item) that reach the threshold."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, items = WordKeys(), {}
         for batch in batches:
-            held: dict[str, list[str]] = {}
             row, score, first, end = [], [], [], []
-            for i, (start, cut, text, a, b) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 7)))):
-                if text not in held:
-                    held[text] = words(text)
-                item = held[text]
-                if len(item) > 3 * LONG:
-                    item = item[max(0, a - MARGIN) : b + N + MARGIN]
-                own = cut.split(" ")
-                need = threshold * 2 * min(len(item), LONG)
-                if 2 * sum((Counter(item) & Counter(own)).values()) < need:
-                    continue
-                number: dict[str, int] = {}
-                s, p, q = align(*(np.array([number.setdefault(w, len(number)) for w in x]) for x in (item, own)))
-                if s >= need:
-                    row.append(i)
-                    score.append(s / (2 * min(len(item), LONG)))
-                    first.append(start + p)
-                    end.append(start + q)
+            for part, texts in slices(iter([batch.append_column("_at", pa.array(np.arange(batch.num_rows)))]), "_text"):
+                for i, text, other in zip(part.column(4).to_pylist(), texts, part.column(3).to_pylist()):
+                    if other not in items:
+                        items[other] = _keys_of(other, keys)
+                    item, seeds = items[other]
+                    own, grams = _keys_of(text, keys)
+                    need, best = threshold * 2 * min(len(item), LONG), (0, 0, 0)
+                    for a, b in around(seeds, grams, REACH * len(item)):
+                        passage = own[a:b]
+                        if 2 * sum((Counter(item) & Counter(passage)).values()) < need:
+                            continue
+                        number: dict[str, int] = {}
+                        s, p, q = align(*(np.array([number.setdefault(w, len(number)) for w in x]) for x in (item, passage)))
+                        if s > best[0]:
+                            best = (s, a + p, a + q)
+                    if best[0] >= need:
+                        row.append(i)
+                        score.append(best[0] / (2 * len(item)))
+                        first.append(best[1])
+                        end.append(best[2])
             at = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())], names=["doc", "item", "score", "first_word", "end_word"])
 
     doc, item = (pairs.schema[c].dataType.simpleString() for c in ("doc", "item"))
-    columns = ["doc", "item", "start", "words", "text", "low", "high"]
-    return pairs.select(*columns).mapInArrow(scan, f"doc {doc}, item {item}, score double, first_word long, end_word long")
+    return pairs.select("doc", "item", "_text", "text").mapInArrow(scan, f"doc {doc}, item {item}, score double, first_word long, end_word long")
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and benchmark item that the document holds a copy of."""
-    seeded = durable(item_grams(items, item_col, item_text_col).distinct())
-    cut = durable(passages(docs, seeded, id_col, text_col).withColumn("passage", F.monotonically_increasing_id()))
-    found = cut.select("passage", F.explode("grams").alias("gram")).join(seeded, "gram").groupBy("passage", "item").agg(F.min("place").alias("low"), F.max("place").alias("high"))
-    pairs = found.join(cut.select("passage", "doc", "start", "words"), "passage")
-    texts = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
-    scored = verify(pairs.join(texts, "item"), threshold)
+    seeded = durable(item_grams(items, item_col, item_text_col).select("item", "gram").distinct())
+    pairs = durable(hits(docs, seeded, id_col, text_col).join(seeded, "gram").select("doc", "item").distinct())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(pairs, slot(F.col("doc"))))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy() - 1
+            yield batch.filter(pa.array((bits.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)).select([0, 1])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    read = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), slot(F.col(id_col)).alias("_slot")).mapInArrow(pick, f"_doc {kind}, _text string")
+    texts = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("text"))
+    both = pairs.join(texts, F.col("item").eqNullSafe(F.col("_item"))).join(read, F.col("doc").eqNullSafe(F.col("_doc")))
+    scored = verify(both, threshold)
     best = F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"), -F.col("end_word"))).alias("b")
-    out = scored.groupBy("doc", "item").agg(best).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.*")
-    return out
+    return scored.groupBy("doc", "item").agg(best).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.*")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -43,6 +43,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[^\s\"'<>]+")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _IDENTIFYING = re.compile(r"[?&](?:e?mail|user(?:name)?|token|session|password|phone)=[^&#]+", re.I)
 _ACCOUNT = re.compile(r"[\s:#=.]{1,4}(?:no\.?|number|nr\.?)?[\s:#=.]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{1,4}){3,8}|[0-9](?:[ -]?[0-9]){5,19})(?![A-Za-z0-9])")
 _SECRET = re.compile(r"\s{0,2}[:=]\s{0,2}[\"']?([A-Za-z0-9+/_=-]{8,})")
@@ -118,7 +119,10 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 if 9 <= sum(map(m.group().count, "0123456789")) <= 15:
                     found.append(("phone", at, phone))
         elif kind == "url":
-            head = _SCHEME.search(text, max(url, at - 12), at)
+            begin = at
+            while begin > url and text[begin - 1] in _SCHEME_PART:
+                begin -= 1
+            head = _SCHEME.search(text, begin, at)
             if head and (m := _AUTHORITY.match(text, at + 3)):
                 end, body = m.end(), m.group()
                 url = end

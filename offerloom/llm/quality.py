@@ -54,7 +54,7 @@ class Tokens(dict):
         for pattern, kind in _CHANGES:
             shape = pattern.sub(kind, shape)
         own = zlib.crc32(token.lower().encode("utf-8", "replace")) % WORDS if word else -1
-        self[token] = out = (own, zlib.crc32(shape[:8].encode("utf-8", "replace")) % SHAPES)
+        self[token] = out = (own, zlib.crc32(shape.encode("utf-8", "replace")) % SHAPES)
         return out
 
 

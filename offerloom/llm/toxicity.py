@@ -37,8 +37,7 @@ from pyspark.sql import functions as F
 from offerloom.llm.arrow import fold_key, slices
 
 POSITIVES, NEGATIVES = 1000, 2000  # bound of the learning sample
-MAX_TRAIN_WINDOWS = 20  # evenly spread windows of one document known in learning; scoring uses all
-HARD, EASY = 4, 2  # of those, the best-scoring and the random ones that a round learns from
+HARD, EASY = 4, 2  # of a document's windows, the best-scoring and the random ones that a round learns from; all are scored each round
 WINDOW, STRIDE = 48, 24  # in words
 WORDS, GRAMS, DIM, HIDDEN = 1 << 14, 1 << 15, 8, 8
 MIN_EPOCHS, MAX_EPOCHS, STEPS, BATCH, RATE = 4, 30, 200, 128, 0.01
@@ -217,11 +216,8 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, seed:
         own = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words(text)], np.int64)
         if not len(own):
             continue
-        starts = np.array(windows(len(own)))
-        if len(starts) > MAX_TRAIN_WINDOWS:
-            starts = starts[np.linspace(0, len(starts) - 1, MAX_TRAIN_WINDOWS).astype(int)]
-        rows, here = cut(own, starts)
-        ids.append(rows)
+        rows, here = cut(own, windows(len(own)))
+        ids.append(rows.astype(np.int32))
         mask.append(here)
         of.append(np.full(len(rows), i))
     ids, mask, of = np.concatenate(ids), np.concatenate(mask), np.concatenate(of)

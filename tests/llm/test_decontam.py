@@ -63,3 +63,17 @@ def test_edited_copy_beside_a_verbatim_one(spark):
     items = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = {r.doc_id: r.score for r in decontam.contaminated(docs, items).collect()}
     assert got == {1: 1.0, 2: brute(item, edited) / 30} and got[2] >= 0.5
+
+
+def test_long_items_are_aligned_whole(spark):
+    """An item of 400 words of which seven in twelve are kept, far into a long text."""
+    rng = random.Random(2)
+    item = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    edited = [w if k % 12 < 7 else f"x{k}" for k, w in enumerate(item)]
+    text = [f"n{k}" for k in range(5000)] + edited + [f"m{k}" for k in range(5000)]
+    docs = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(item))], "item_id long, text string")
+    score, first, end = decontam.align(*(lambda n: [np.array([n.setdefault(w, len(n)) for w in x]) for x in (item, text)])({}))
+    got = decontam.contaminated(docs, items).collect()
+    assert {r.item_id for r in got} == {7, 8}
+    assert all((r.score, r.first_word, r.end_word) == (score / 800, first, end) for r in got)

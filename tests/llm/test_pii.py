@@ -61,3 +61,8 @@ def test_edge_rows(spark):
     assert pii.find(df.limit(0)).count() == 0
     with pytest.raises(Exception):
         pii.find(df, text_col="missing")
+
+
+def test_a_scheme_of_any_length_is_whole():
+    text = "see averylongschemename+x://me:pw@host/path now"
+    assert ("url", 4, 43) in pii.spans(text)

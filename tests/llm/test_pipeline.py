@@ -46,3 +46,15 @@ def test_every_stage_returns_the_columns_of_documents(spark, sf_dir):
         out = stage(spark, docs, sf_dir)
         assert out.dtypes == docs.dtypes, name
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_rows_without_an_id_are_judged_by_their_own_text(spark, tmp_path):
+    item = " ".join(f"word{k}" for k in range(30))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = " ".join(f"own{k}" for k in range(40))
+    rows = [(None, f"so {item} it is"), (None, "harmless"), (None, None), (3, kept), (None, kept), (None, "harmless"), (4, "same text here"), (4, "same text here"), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    clean = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text or "") for r in clean.collect()) == sorted((i or 0, t or "") for i, t in rows[1:])
+    one = corpus_pipeline.keep_one_of_each_group(spark, clean, str(tmp_path))
+    assert sorted((r.doc_id or 0, r.text or "") for r in one.collect()) == [(0, ""), (0, "harmless"), (3, kept), (4, "same text here"), (5, "")]
