@@ -7,7 +7,9 @@
    benchmark, lets it drop nearly all other n-grams where they arise; it has no
    false negatives, so it loses nothing when the benchmark outgrows it.
 3. A join on the seed pairs documents with items. Only the texts of documents in
-   a pair are read again, which another bitmap picks out.
+   a pair are read again, which another bitmap picks out. A benchmark whose size
+   was checked to be under BROADCAST bytes goes to the documents instead, as a
+   sorted table of seeds, and steps 2 to 4 are one scan with the same result.
 4. Each pair is aligned by Smith-Waterman over words (match 2, mismatch and gap
    -1), the whole item against the passages around its seeds, after a test that
    the words in common could reach the threshold at all. An alignment with a
@@ -33,7 +35,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,7 @@ from offerloom.llm.durable import durable
 N = 3  # words in a seed
 THRESHOLD, LONG = 0.5, 60  # share of a perfect alignment, over at most so many words
 REACH = 3  # words of a document that an alignment can span for each word of the item
+BROADCAST = 16_000_000  # bytes of benchmark texts up to which they are sent to every executor
 BITS = 1 << 24
 CACHE = 300_000
 _WORD = re.compile(r"\w+")
@@ -76,9 +78,11 @@ def gram_keys(keys: np.ndarray, n: int = N) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _keys_of(text, keys: WordKeys) -> tuple[list[str], np.ndarray]:
+def _keys_of(text: str | None, keys: WordKeys) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of a text's words and of its n-grams."""
     own = words(text)
-    return own, gram_keys(np.fromiter(map(keys.__getitem__, own), np.uint64, len(own)))
+    own = np.fromiter(map(keys.__getitem__, own), np.uint64, len(own))
+    return own, gram_keys(own)
 
 
 def bucket(keys: np.ndarray) -> np.ndarray:
@@ -169,43 +173,99 @@ def around(item: np.ndarray, own: np.ndarray, reach: int) -> list[tuple[int, int
     return out
 
 
+class Item:
+    """An item's seeds and its words by number; a number past the end stands for any other word."""
+
+    def __init__(self, keys: np.ndarray):
+        self.seeds = np.unique(gram_keys(keys))
+        self.vocabulary, self.words = np.unique(keys, return_inverse=True)
+        self.counts = np.bincount(self.words)
+
+    def best(self, own: np.ndarray, grams: np.ndarray, threshold: float) -> tuple[float, int, int] | None:
+        """Score, first word and end of the best alignment through a seed, if it reaches the threshold."""
+        n = len(self.words)
+        need, best = threshold * 2 * min(n, LONG), (0, 0, 0)
+        for a, b in around(self.seeds, grams, REACH * n):
+            passage = own[a:b]
+            at = np.minimum(np.searchsorted(self.vocabulary, passage), len(self.vocabulary) - 1)
+            at[self.vocabulary[at] != passage] = len(self.vocabulary)
+            if 2 * np.minimum(np.bincount(at, minlength=len(self.counts))[: len(self.counts)], self.counts).sum() < need:
+                continue
+            s, p, q = align(self.words, at)
+            if s > best[0]:
+                best = (s, a + p, a + q)
+        return (best[0] / (2 * n), best[1], best[2]) if best[0] and best[0] >= need else None
+
+
+_SCORED = "score double, first_word long, end_word long"
+
+
+def _scored(doc: pa.Array, item: pa.Array, found: list[tuple[float, int, int]]) -> pa.RecordBatch:
+    score, first, end = zip(*found) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([doc, item, pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())], names=["doc", "item", "score", "first_word", "end_word"])
+
+
 def verify(pairs: DataFrame, threshold: float) -> DataFrame:
     """Scores of pairs (doc, item, text of the document, text of the item) that reach the threshold."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, items = WordKeys(), {}
         for batch in batches:
-            row, score, first, end = [], [], [], []
-            for part, texts in slices(iter([batch.append_column("_at", pa.array(np.arange(batch.num_rows)))]), "_text"):
-                for i, text, other in zip(part.column(4).to_pylist(), texts, part.column(3).to_pylist()):
-                    if other not in items:
-                        items[other] = _keys_of(other, keys)
-                    item, seeds = items[other]
-                    own, grams = _keys_of(text, keys)
-                    need, best = threshold * 2 * min(len(item), LONG), (0, 0, 0)
-                    for a, b in around(seeds, grams, REACH * len(item)):
-                        passage = own[a:b]
-                        if 2 * sum((Counter(item) & Counter(passage)).values()) < need:
-                            continue
-                        number: dict[str, int] = {}
-                        s, p, q = align(*(np.array([number.setdefault(w, len(number)) for w in x]) for x in (item, passage)))
-                        if s > best[0]:
-                            best = (s, a + p, a + q)
-                    if best[0] >= need:
-                        row.append(i)
-                        score.append(best[0] / (2 * len(item)))
-                        first.append(best[1])
-                        end.append(best[2])
+            row, scores = [], []
+            for i, text, other in zip(range(batch.num_rows), batch.column(2), batch.column(3).to_pylist()):
+                if other not in items:
+                    if len(items) > 10_000:
+                        items.clear()
+                    items[other] = Item(_keys_of(other, keys)[0])
+                found = items[other].best(*_keys_of(text.as_py(), keys), threshold)
+                if found:
+                    row.append(i)
+                    scores.append(found)
             at = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(score, pa.float64()), pa.array(first, pa.int64()), pa.array(end, pa.int64())], names=["doc", "item", "score", "first_word", "end_word"])
+            yield _scored(batch.column(0).take(at), batch.column(1).take(at), scores)
 
     doc, item = (pairs.schema[c].dataType.simpleString() for c in ("doc", "item"))
-    return pairs.select("doc", "item", "_text", "text").mapInArrow(scan, f"doc {doc}, item {item}, score double, first_word long, end_word long")
+    return pairs.select("doc", "item", "_text", "text").mapInArrow(scan, f"doc {doc}, item {item}, {_SCORED}")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document and benchmark item that the document holds a copy of."""
-    seeded = durable(item_grams(items, item_col, item_text_col).select("item", "gram").distinct())
+def scanned(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Scores of all pairs; the benchmark (item, text) goes to every executor, so its size must have been checked."""
+    rows = texts.filter("text is not null").collect()
+    own = docs.sparkSession.sparkContext.broadcast([r["text"] for r in rows])
+    ids = docs.sparkSession.sparkContext.broadcast(pa.array([r["item"] for r in rows]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = WordKeys()
+        items = [Item(_keys_of(t, keys)[0]) for t in own.value]
+        seeds = np.concatenate([i.seeds for i in items] or [np.zeros(0, np.int64)])
+        of = np.repeat(np.arange(len(items)), [len(i.seeds) for i in items])
+        order = np.argsort(seeds, kind="stable")
+        seeds, of = seeds[order], of[order]
+        bits = np.zeros(BITS // 8, np.uint8)
+        np.bitwise_or.at(bits, bucket(seeds) >> 3, (1 << (bucket(seeds) & 7)).astype(np.uint8))
+        for piece, texts in slices(batches, "_text"):
+            doc, item, found = [], [], []
+            for i, text in enumerate(texts):
+                k, grams = _keys_of(text, keys)
+                hit = np.unique(grams[_known(bits, grams)])
+                low, high = np.searchsorted(seeds, hit), np.searchsorted(seeds, hit, side="right")
+                for j in np.unique(np.concatenate([of[a:b] for a, b in zip(low, high)] or [of[:0]])):
+                    if best := items[j].best(k, grams, threshold):
+                        doc.append(i)
+                        item.append(j)
+                        found.append(best)
+            yield _scored(piece.column(0).take(pa.array(doc, pa.int64())), ids.value.take(pa.array(item, pa.int64())).cast(kind), found)
+
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = to_arrow_type(texts.schema["item"].dataType)
+    schema = f"doc {docs.schema[id_col].dataType.simpleString()}, item {texts.schema['item'].dataType.simpleString()}, {_SCORED}"
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("_text")).mapInArrow(scan, schema)
+
+
+def joined(docs: DataFrame, texts: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Scores of all pairs, whatever the size of the benchmark."""
+    seeded = durable(item_grams(texts, "item", "text").select("item", "gram").distinct())
     pairs = durable(hits(docs, seeded, id_col, text_col).join(seeded, "gram").select("doc", "item").distinct())
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(BITS)) + 1
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(pairs, slot(F.col("doc"))))
@@ -217,9 +277,16 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
     kind = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"), slot(F.col(id_col)).alias("_slot")).mapInArrow(pick, f"_doc {kind}, _text string")
-    texts = items.select(F.col(item_col).alias("_item"), F.col(item_text_col).alias("text"))
-    both = pairs.join(texts, F.col("item").eqNullSafe(F.col("_item"))).join(read, F.col("doc").eqNullSafe(F.col("_doc")))
-    scored = verify(both, threshold)
+    own = texts.select(F.col("item").alias("_item"), "text")
+    both = pairs.join(own, F.col("item").eqNullSafe(F.col("_item"))).join(read, F.col("doc").eqNullSafe(F.col("_doc")))
+    return verify(both, threshold)
+
+
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD, broadcast: int = BROADCAST) -> DataFrame:
+    """One row per document and benchmark item that the document holds a copy of."""
+    texts = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    scored = (scanned if size <= broadcast else joined)(docs, texts, id_col, text_col, threshold)
     best = F.max_by(F.struct("score", "first_word", "end_word"), F.struct("score", -F.col("first_word"), -F.col("end_word"))).alias("b")
     return scored.groupBy("doc", "item").agg(best).select(F.col("doc").alias(id_col), F.col("item").alias(item_col), "b.*")
 

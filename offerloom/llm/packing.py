@@ -46,7 +46,7 @@ GROUPS = 32  # sizes left after rounding
 ROUNDS, SLACK = 1, 2  # times that loose sequences are grouped anew; what a sequence that stays may lack
 STEPS = 2_000  # configurations that may enter the optimum; it is reached long before
 PER_SALT = 4_000  # pieces of a length ranked together, about
-CACHE = 500_000  # distinct words whose ids a worker keeps
+CACHE = 250_000  # distinct words whose ids a worker keeps
 JOINED = 256  # words given to the tokenizer in one string
 #: Up to this character the word pattern below is known to cut as the tokenizer does; other texts are given to it whole.
 PLAIN = 0x24F
@@ -78,10 +78,11 @@ class Words:
         joined = [w for w in words if w[0] == " " and w[1:].isalpha()]  # end to end, the tokenizer cuts them as they are
         single = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
         ids, many = [], []
-        for found in self.tokenizer.encode_batch(["".join(joined[i : i + JOINED]) for i in range(0, len(joined), JOINED)], add_special_tokens=False):
+        for i in range(0, len(joined), JOINED):
+            found = self.tokenizer.encode("".join(joined[i : i + JOINED]), add_special_tokens=False)
             ids.append(np.array(found.ids, "<u4"))
             many.append(np.bincount(found.word_ids))
-        found = [x.ids for x in self.tokenizer.encode_batch(single, add_special_tokens=False)]
+        found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in single]
         many.append(np.fromiter(map(len, found), np.int64, len(found)))
         ids.append(np.fromiter(chain.from_iterable(found), "<u4", many[-1].sum()))
         self.number.update(zip(joined + single, range(len(self.number), len(self.number) + len(words))))
@@ -136,7 +137,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(path or tokenizer_path())
         end = np.array([END], "<u4")
-        for part, texts in slices(batches, "_text"):
+        for part, texts in slices(batches, "_text", 1_000_000):
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, own_ids in enumerate(words(texts)):
                 data = np.append(own_ids, end)

@@ -37,8 +37,10 @@ def test_documents_equal_brute_force(spark, sf_dir):
                 a, b = (np.array([number.setdefault(w, len(number)) for w in x]) for x in (item, text))
                 if decontam.align(a, b)[0] >= min(len(item), 60):
                     want.add((d, i))
-    got = {(r.doc_id, r.item_id) for r in decontam.op8_decontamination(spark, sf_dir).collect()}
-    assert got == want and want
+    got = decontam.op8_decontamination(spark, sf_dir).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and want
+    tables = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    assert sorted(decontam.contaminated(*tables, broadcast=-1).collect()) == sorted(got)
 
 
 def test_edited_copies_and_edge_rows(spark):
