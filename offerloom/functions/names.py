@@ -51,7 +51,7 @@ UNITS = [
 ]
 # Fixed value: units that a bare amount may stand before.
 COUNTED = r"lunar\s+crystals?|genesis\s+crystals?|oneiric\s+shards?|rift\s*crystals?|origeometry|starstones?|monochrome|lunites?|opals?|robux|diamonds?|uc|cp|vp|valorant\s+points?|crystals?|tokens?|points?|coins?|vouchers?"
-#: Base and bonus amounts in order of precedence, then a single amount.
+# Base and bonus amounts in order of precedence, then a single amount; names of conditional offers.
 TWO_AMOUNTS = [
     r"\((\d[\d.]*)\s*\+\s*(\d[\d.]*)\s*(?:bonus)?\)",
     rf"(\d[\d.]*)\s*(?:{COUNTED})?\s*\+\s*(\d[\d.]*)\s*bonus",
@@ -75,14 +75,6 @@ def _named(place: Column, table: list[tuple], member: int) -> Column:
     return F.get(F.array(*(F.lit(row[member]) for row in table)), place)
 
 
-def special_type(name: Column) -> Column:
-    return _named(_place(F.lower(name), SPECIAL_TYPES), SPECIAL_TYPES, 0)
-
-
-def unit(name: Column) -> Column:
-    return F.coalesce(_named(_place(F.lower(name), UNITS), UNITS, 0), F.lit("Item"))
-
-
 def multiplier(name: Column) -> Column:
     """First `x` or `×` before a number; 1 without one. Not anchored: `Max 5` counts 5."""
     return F.greatest(F.lit(1), F.coalesce(F.regexp_extract(name, r"(?i)[x×]\s*(\d+)", 1).try_cast("bigint"), F.lit(1)))
@@ -97,8 +89,23 @@ def dotted(number: Column) -> Column:
     return F.translate(F.format_number(number, 0), ",", ".")
 
 
+#: What a name says about its package.
+PACKAGE = ["package_type", "canonical_name", "canonical_key", "unit", "multiplier", "base_amount", "bonus_amount", "total_amount", "eligibility"]
+
+
 def canonicalized(rows: DataFrame, name_col: str = "original_name") -> DataFrame:
-    """Adds everything that decides which offers are one package. Dots and commas of amounts part thousands.
+    """Adds everything that decides which offers are one package.
+
+    Many offers share a name, so the patterns are tried on the distinct names
+    (which combine before their shuffle), and an equi-join brings the result
+    back; where one name is hot, adaptive execution splits its rows.
+    """
+    own = packages(rows.select(F.col(name_col).alias("_name")).distinct(), "_name")
+    return rows.join(own, rows[name_col].eqNullSafe(own["_name"])).select(*(rows[c] for c in rows.columns), *PACKAGE)
+
+
+def packages(rows: DataFrame, name_col: str = "original_name") -> DataFrame:
+    """Adds the columns of PACKAGE. Dots and commas of amounts part thousands.
 
     The patterns are long; steps that are used more than once are columns of
     their own, so that each pattern is tried once a row.
@@ -127,4 +134,4 @@ def canonicalized(rows: DataFrame, name_col: str = "original_name") -> DataFrame
         "canonical_key": F.when(special.isNotNull(), F.concat(special, F.lit(":"), many)).when(counted, F.concat(F.lit("currency:"), F.lower("unit"), F.lit(":"), total.cast("string"))).otherwise(F.concat(F.lit("other:"), normalized(F.col("_nm")))),
         "package_type": F.coalesce(special, F.when(counted, F.lit("currency")).otherwise(F.lit("other"))),
     })
-    return rows.select(*kept, "package_type", "canonical_name", "canonical_key", "unit", "multiplier", "base_amount", "bonus_amount", "total_amount", "eligibility")
+    return rows.select(*kept, *PACKAGE)

@@ -27,10 +27,9 @@ def group_offers(offers: DataFrame) -> DataFrame:
     Every aggregate combines before the shuffle; the count of stores takes one
     more pair (group, store) per task.
     """
-    first = F.struct("canonical_name", "package_type", "unit", "total_amount")
     cheap = F.struct("final_price", "store_name", "arrival_seq")
     groups = canonicalized(priced(offers)).groupBy(*KEY).agg(
-        F.min_by(first, "arrival_seq").alias("first"),
+        F.min_by(F.struct("canonical_name", "package_type", "unit", "total_amount"), "arrival_seq").alias("first"),
         F.min("final_price").alias("cheapest_price"),
         F.min_by("store_name", cheap).alias("cheapest_store"),
         F.max("final_price").alias("highest_price"),
@@ -49,9 +48,14 @@ def cheapest_offers(offers: DataFrame, k: int) -> DataFrame:
 
 
 def sorted_groups(groups: DataFrame, by: str = "price-asc") -> DataFrame:
-    """Groups in one of the orders offered to users, ties by cheapest price, then by key."""
+    """All groups with their place (from 1) in their game's list, in one of the orders offered to users.
+
+    Ties go by cheapest price, then by key. An unknown order is price-asc. A
+    game's groups are ranked by themselves, so no task sees all groups.
+    """
     first = {"amount-asc": [F.col("total_amount").asc_nulls_last()], "stores-desc": [F.col("store_count").desc()], "savings-desc": [F.col("savings").desc()]}.get(by, [])
-    return groups.orderBy(*first, "cheapest_price", *KEY)
+    order = Window.partitionBy("game_id").orderBy(*first, "cheapest_price", "canonical_key")
+    return groups.withColumn("place", F.row_number().over(order))
 
 
 def first_of_each(offers: DataFrame, scope: list[str]) -> DataFrame:

@@ -118,7 +118,7 @@ def cheapest_offers(spark, sf):
 
 def _ordered(by):
     def query(spark, sf):
-        return offers.sorted_groups(offers.group_offers(_offers(spark, sf)), by).limit(50)
+        return offers.sorted_groups(offers.group_offers(_offers(spark, sf)), by)
 
     return query
 
@@ -140,8 +140,10 @@ def dedupe_first(spark, sf):
 
 
 def fallback_union(spark, sf):
+    """Stores with a negative balance stand for those whose live fetch failed."""
     rows = _offers(spark, sf)
-    live = rows.filter("source = 'live' and store_id % 3 = 0")
+    failed = table(spark, sf, "supplier").filter("s_acctbal < 0").select(F.col("s_suppkey").alias("store_id"))
+    live = rows.filter("source = 'live'").join(failed, "store_id", "left_anti")
     catalog = rows.filter("source = 'fallback'")
     chosen = table(spark, sf, "supplier").filter("s_nationkey < 12").select(F.col("s_suppkey").alias("store_id"))
     return offers.with_fallback(live, catalog, chosen).groupBy("store_id", "source").agg(F.count("*").alias("offers"), F.sum("final_price").alias("total"))
@@ -249,7 +251,7 @@ SELECT code, count(*) AS attempts, count(*) FILTER (code IN ('TIMEOUT', 'RATE_LI
 
 
 def error_priority(spark, sf):
-    return attempts.strongest_error(_attempts(spark, sf).filter("event_id % 7 < 3"), "user_id", "code", "event_id")
+    return attempts.strongest_error(_attempts(spark, sf), "user_id", "code", "event_id")
 
 
 def strategy_chain(spark, sf):
@@ -413,11 +415,11 @@ ORACLES = {
     "group_offers": f"WITH {_GROUPS} SELECT {_COLUMNS} FROM groups",
     "canonicalize_names": f"WITH {_OFFERS}, {_CASES}, n AS (SELECT DISTINCT original_name FROM offers UNION ALL SELECT * FROM v), {_canon('n')} SELECT original_name, package_type, canonical_name, canonical_key, unit, multiplier, base_amount, bonus_amount, total_amount, eligibility FROM c",
     "cheapest_offers": f"WITH {_OFFERS}, {_canon('(SELECT * FROM offers WHERE final_price > 0)')} SELECT game_id, canonical_key, CAST(rank AS INT) AS rank, store_id, store_name, original_name, final_price FROM (SELECT *, row_number() OVER (PARTITION BY game_id, canonical_key ORDER BY final_price, store_name, arrival_seq) AS rank FROM c) WHERE rank <= 3",
-    **{f"sorted_{k.replace('-', '_')}": f"WITH {_GROUPS} SELECT {_COLUMNS} FROM groups ORDER BY {o}cheapest_price, game_id, canonical_key LIMIT 50" for k, o in _ORDERS.items()},
+    **{f"sorted_{k.replace('-', '_')}": f"WITH {_GROUPS} SELECT {_COLUMNS}, CAST(row_number() OVER (PARTITION BY game_id ORDER BY {o}cheapest_price, canonical_key) AS INT) AS place FROM groups" for k, o in _ORDERS.items()},
     "facet_counts": f"WITH {_GROUPS} SELECT CASE WHEN package_type = 'currency' THEN 'currency:' || regexp_replace(lower(unit), '[^a-z0-9]+', '-', 'g') ELSE package_type END AS facet, count(*) AS groups, min(cheapest_price) AS from_price FROM groups GROUP BY 1",
     "store_facet": f"WITH {_OFFERS} SELECT store_id, store_name, count(*) AS offers, min(final_price) AS from_price FROM offers GROUP BY ALL",
     "dedupe_first": rf"WITH {_OFFERS}, r AS (SELECT *, row_number() OVER (PARTITION BY game_id, trim(regexp_replace(lower(original_name), '\s+', ' ', 'g')), final_price ORDER BY arrival_seq) AS k FROM offers) SELECT game_id, final_price, original_name, store_id, source FROM r WHERE k = 1",
-    "fallback_union": f"WITH {_OFFERS}, live AS (SELECT * FROM offers WHERE source = 'live' AND store_id % 3 = 0), u AS (SELECT * FROM live UNION ALL SELECT * FROM offers o WHERE source = 'fallback' AND EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o.store_id AND s_nationkey < 12) AND NOT EXISTS (SELECT 1 FROM live WHERE live.store_id = o.store_id)) SELECT store_id, source, count(*) AS offers, CAST(sum(final_price) AS BIGINT) AS total FROM u GROUP BY ALL",
+    "fallback_union": f"WITH {_OFFERS}, live AS (SELECT * FROM offers WHERE source = 'live' AND store_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)), u AS (SELECT * FROM live UNION ALL SELECT * FROM offers o WHERE source = 'fallback' AND EXISTS (SELECT 1 FROM supplier WHERE s_suppkey = o.store_id AND s_nationkey < 12) AND NOT EXISTS (SELECT 1 FROM live WHERE live.store_id = o.store_id)) SELECT store_id, source, count(*) AS offers, CAST(sum(final_price) AS BIGINT) AS total FROM u GROUP BY ALL",
     "batch_merge": _MERGED,
     "paging": "SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 8 OFFSET 16",
     "fallback_price": "SELECT p_partkey, store, greatest(500, CAST(floor(p_retailprice * multiplier * (CAST(1.0 AS DOUBLE) + ((p_partkey + length(store)) % 5 - 2) * CAST(0.006 AS DOUBLE)) / CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) * 100) AS price FROM part, (VALUES " + ", ".join(f"('{s}', CAST({m} AS DOUBLE))" for s, m in STORES) + ") s(store, multiplier)",
@@ -425,7 +427,7 @@ ORACLES = {
     "game_resolution": _RESOLVE,
     "autocomplete": "SELECT p_name AS entry, min(p_partkey) AS registry_order FROM part WHERE contains(lower(p_name), 'gi') GROUP BY 1 ORDER BY 2 LIMIT 5",
     "provider_summary": _SUMMARY,
-    "error_priority": f"WITH a AS (SELECT *, {_CODE_CASE} AS code FROM events WHERE event_id % 7 < 3) SELECT user_id, arg_max(code, ROW({_PRIORITY_CASE}, -event_id)) AS code, max({_PRIORITY_CASE}) AS priority FROM a GROUP BY user_id",
+    "error_priority": f"WITH a AS (SELECT *, {_CODE_CASE} AS code FROM events) SELECT user_id, arg_max(code, ROW({_PRIORITY_CASE}, -event_id)) AS code, max({_PRIORITY_CASE}) AS priority FROM a GROUP BY user_id",
     "strategy_chain": f"WITH a AS (SELECT *, {_CODE_CASE} AS code FROM events), s AS (SELECT *, max(CASE WHEN {_STOPS} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stopped FROM a) SELECT user_id, event_id, code FROM s WHERE coalesce(stopped, 0) = 0",
     "candidate_fold": _FOLD,
     "nearest_following": _NEAREST,

@@ -8,7 +8,7 @@ SCHEMA = "game_id string, store_id string, store_name string, original_name stri
 
 def test_amounts_types_and_keys(spark):
     rows = [("85 Diamonds (77 + 8 Bonus)",), ("77 Diamonds + 8 Bonus",), ("Weekly Diamond Pass",), ("300 + 30 Genesis Crystals",), ("1,000 UC",), ("1.5 UC",), ("80 Call of Duty Points",), ("Weekly Diamond Pass x2",), ("Weekly Diamond Pass 2x",), (None,)]
-    got = names.canonicalized(spark.createDataFrame(rows, "original_name string")).collect()
+    got = names.packages(spark.createDataFrame(rows, "original_name string")).collect()
     assert [r.total_amount for r in got[:7]] == [85, 85, None, 330, 1000, 15, None]
     assert got[0].canonical_key == got[1].canonical_key and got[2].package_type == "weekly-pass" and got[6].package_type == "other"
     assert [got[k].multiplier for k in (7, 8)] == [2, 1] and got[9].canonical_key == "other:"
