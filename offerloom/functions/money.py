@@ -5,26 +5,110 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from offerloom.functions.text import END, WORD
+
+# How a price is marked, and the forms of its number (thousands by dots, thousands by commas, cents).
+MARK = rf"(?:{WORD}idr{END}|{WORD}rp\s*\.?)"
+NUMBER = "([0-9][0-9.,]*)"
+BY_DOTS, BY_COMMAS, CENTS = r"^\d{1,3}(?:\.\d{3})+(?:,\d{2})?$", r"^\d{1,3}(?:,\d{3})+(?:\.\d{2})?$", r"^\d+[.,]\d{2}$"
+
+
+def _digits(text: Column) -> Column:
+    return F.regexp_replace(text, r"\D", "").try_cast("bigint")
+
+
+def _rounded(text: Column) -> Column:
+    return F.floor(F.replace(text, F.lit(","), F.lit(".")).try_cast("double") + 0.5).cast("bigint")
+
+
+def _whole(text: Column) -> Column:
+    """Digits of a number by thousands, its cents cut off."""
+    return _digits(F.regexp_replace(text, r"[.,]\d{2}$", ""))
+
 
 def token(text: Column) -> Column:
     """Whole rupiah of a number: thousands by dots or commas with cents cut off; else two decimals rounded; else all digits."""
     text = F.regexp_replace(text, r"\s+", "")
-    digits = lambda c: F.regexp_replace(c, r"\D", "").try_cast("bigint")
-    return (
-        F.when(text.rlike(r"^\d{1,3}(?:\.\d{3})+(?:,\d{2})?$"), digits(F.regexp_replace(text, r",\d{2}$", "")))
-        .when(text.rlike(r"^\d{1,3}(?:,\d{3})+(?:\.\d{2})?$"), digits(F.regexp_replace(text, r"\.\d{2}$", "")))
-        .when(text.rlike(r"^\d+[.,]\d{2}$"), F.floor(F.replace(text, F.lit(","), F.lit(".")).try_cast("double") + 0.5).cast("bigint"))
-        .otherwise(digits(text))
-    )
+    return F.when(text.rlike(BY_DOTS) | text.rlike(BY_COMMAS), _whole(text)).when(text.rlike(CENTS), _rounded(text)).otherwise(_digits(text))
+
+
+def cleaned(text: Column) -> Column:
+    """Lower case, blanks of all kinds as one kind, none at the ends."""
+    text = F.lower(F.translate(F.coalesce(text, F.lit("")), "\u00a0\u2007\u202f", "   "))
+    return F.regexp_replace(text, r"^[\s\ufeff]+|[\s\ufeff]+$", "")
 
 
 def rupiah(text: Column) -> Column:
     """Price marked before or after by its currency, or a text that is a number as a whole; else null, never part of a name."""
-    text = F.lower(F.trim(F.translate(F.coalesce(text, F.lit("")), "\u00a0\u2007\u202f", "   ")))
-    before = F.regexp_extract(text, r"(?:(?:^|[^a-z0-9_])idr|(?:^|[^a-z0-9_])rp\s*\.?)\s*[:=\-]?\s*([0-9][0-9.,]*)", 1)
-    after = F.regexp_extract(text, r"([0-9][0-9.,]*)\s*(?:idr|rupiah)(?:$|[^a-z0-9_])", 1)
+    text = cleaned(text)
+    before = F.regexp_extract(text, rf"{MARK}\s*[:=\-]?\s*{NUMBER}", 1)
+    after = F.regexp_extract(text, rf"{NUMBER}\s*{WORD}(?:idr|rupiah){END}", 1)
     return F.when(before != "", token(before)).when(after != "", token(after)).when(text.rlike(r"^[0-9][0-9.,]*$"), token(text))
 
 
-def shown(value: Column) -> Column:
-    return F.concat(F.lit("Rp"), F.translate(F.format_number(value, 0), ",", "."))
+def structured(text: Column) -> Column:
+    """Price of a structured record: marked, or else whatever digits there are; null unless above nothing."""
+    found = rupiah(text)
+    bare = F.regexp_replace(cleaned(text), "[^0-9.,]", "")
+    loose = (
+        F.when(bare.rlike(r"^\d{1,3}(?:\.\d{3})+$") | bare.rlike(r"^\d{1,3}(?:,\d{3})+$"), _digits(bare))
+        .when(bare.rlike(r"^\d+[.,]\d{1,2}$"), _rounded(bare))
+        .otherwise(_digits(bare))
+    )
+    return F.when(found > 0, found).when(loose > 0, loose)
+
+
+def spaced(text: Column) -> Column:
+    """A dot or colon after the mark as a blank: `Rp . 21.635`, `IDR: 25.000`."""
+    text = F.regexp_replace(cleaned(text), rf"{WORD}rp\s*[.:]\s*", "rp ")
+    return F.regexp_replace(text, rf"{WORD}idr\s*:\s*", "idr ")
+
+
+def recovered(text: Column) -> Column:
+    return rupiah(spaced(text))
+
+
+def _first(text: Column, price) -> Column:
+    """Price of the first marked number of a line that has one above nothing."""
+    tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"{MARK}\s*[:=\-]?\s*[0-9][0-9.,]*"), F.lit(0))
+    return F.get(F.filter(F.transform(tokens, price), lambda p: p > 0), 0)
+
+
+def first_of_line(text: Column) -> Column:
+    """The first price of a line is what is asked; a later one is what was asked before."""
+    return _first(text, recovered)
+
+
+def strict(text: Column) -> Column:
+    """Price with its currency in front, of 100 at least; cents are never rounded."""
+    own = F.regexp_extract(spaced(text), rf"(?:{WORD}idr{END}|{WORD}rp{END})\s*{NUMBER}", 1)
+    price = F.when(own.rlike(BY_DOTS) | own.rlike(BY_COMMAS), _whole(own)).otherwise(_digits(own))
+    return F.when(price >= 100, price)
+
+
+def first_strict(text: Column) -> Column:
+    return _first(text, strict)
+
+
+def api_price(text: Column, scale: Column) -> Column:
+    """Price of an interface's field in units of `scale`; null unless above nothing."""
+    price = rupiah(text)
+    return F.when(price > 0, F.when(scale > 0, F.floor(price * scale + 0.5).cast("bigint")).otherwise(price))
+
+
+def has_mark(text: Column) -> Column:
+    """Whether a page speaks of rupiah at all."""
+    return F.coalesce(F.lower(text).rlike(rf"{MARK}|{WORD}rupiah{END}"), F.lit(False))
+
+
+def has_price(line: Column) -> Column:
+    return F.coalesce(F.lower(line).rlike(rf"{MARK}\s*[1-9][0-9.,]*"), F.lit(False))
+
+
+def is_start_price(line: Column) -> Column:
+    """`Mulai Rp 15.000` is where prices begin and not a price."""
+    return F.coalesce(F.lower(line).rlike(rf"(?:mulai|start(?:ing)?\s+from|from)\s*{MARK}"), F.lit(False))
+
+
+def is_rupiah_code(currency: Column) -> Column:
+    return F.coalesce(cleaned(currency).rlike("^(?:idr|rp|rupiah)$"), F.lit(False))

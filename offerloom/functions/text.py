@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and the letters below the accents.
-ACCENTED = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _below_accents() -> tuple[str, str, str]:
+    """Characters that decompose to one ASCII letter or digit, what that is, and those of them that carry marks."""
+    found, plain, marked = [], [], []
+    for code in range(0xA0, 0x1F200):
+        c = chr(code)
+        parts = unicodedata.normalize("NFKD", c)
+        base = [x for x in parts if not 0x300 <= ord(x) <= 0x36F]
+        if len(base) == 1 and base[0].isascii() and base[0].isalnum() and c == c.lower():
+            found.append(c)
+            plain.append(base[0].lower())
+            if len(parts) > 1:
+                marked.append(c)
+    return "".join(found), "".join(plain), "".join(marked)
+
+
+ACCENTED, PLAIN, _MARKED = _below_accents()
+#: Ligatures of several letters.
+LIGATURES = {c: unicodedata.normalize("NFKD", c) for c in "\ufb00\ufb01\ufb02\ufb03\ufb04\ufb05\ufb06\u0133\u01c6\u01c9\u01cc"}
 # Named entities and what they stand for; the ampersand comes last.
 ENTITIES = [("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("nbsp", " "), ("amp", "&")]
 DROPPED = ("script", "style", "noscript", "svg")
 BREAKS = r"(?i)<(?:br|/p|/div|/li|/tr|/td|/th|/h[1-6]|/section|/article)>"
-# Fixed value: units that a product line may count.
-PRODUCT_UNIT = r"(?:diamonds?|uc|vp|cp|robux|opals?|tokens?|starstones?|crystals?|oneiric\s+shards?|monochrome|lunites?|origeometry|points?|coins?|vouchers?)"
+# Units that a product line may count, and things that an instruction offers to choose from.
+PRODUCT_UNIT = r"(?:lunar\s+crystals?|genesis\s+crystals?|oneiric\s+shards?|rift\s*crystals?|origeometry|starstones?|monochrome|lunites?|opals?|robux|diamonds?|uc|vp|points?|crystals?|tokens?|vouchers?|shells?|coins?|credits?|cp)"
+CURRENCY = r"(?:diamonds?|uc|vp|cp|robux|opals?|tokens?|starstones?|crystals?|oneiric\s+shards?|monochrome|lunites?|origeometry)"
+CHOICE = rf"(?:{CURRENCY}|membership|pass|voucher)"
+# Games and packages that a line may name without an amount.
+GAME = r"(?:mobile legends(?::\s*bang bang)?|mobile legend|mobilelegends?|mlbb|free fire|pubg mobile|genshin impact|valorant|crystal of atlan|honor of kings|call of duty(?::\s*)?mobile|cod mobile|codm|rf online next|ragnarok(?::\s*)?the new world|duet night abyss|roblox|neverness to everness|arknights(?::\s*)?endfield|zenless zone zero|honkai(?::\s*)?star rail|chaos zero nightmare|wuthering waves)"
+NAMED = r"(?:weekly diamond pass(?:\s*[2-9]\s*x)?|weekly pass|weekly card plus|weekly card|monthly pass|membership mingguan|weekly membership|monthly membership|starlight(?: membership)?|starlight member(?: plus)?|twilight pass|welkin(?: moon)?|blessing(?: of the welkin moon)?|elite bundle|epic bundle|battle pass|honor pass|royale pass|coupon pass|kafra monthly|express supply pass|inter[-\s]*knot membership|coronomicon monthly(?: package)?|special data|zero data|lunite subscription)"
+#: Edges of ASCII words; Java's own take letters of other scripts into account.
+WORD, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
 def normalized(text: Column, accents: str = "split", blank: str = " ") -> Column:
@@ -24,12 +49,38 @@ def normalized(text: Column, accents: str = "split", blank: str = " ") -> Column
     """
     text = F.lower(F.coalesce(text, F.lit("")))
     if accents == "split":
-        text = F.regexp_replace(text, f"([{ACCENTED}])", "$1 ")
+        text = F.regexp_replace(text, f"([{_MARKED}])", "$1 ")
+    else:
+        text = F.regexp_replace(text, "[\u0300-\u036f]", "")
+    for ligature, letters in LIGATURES.items():
+        text = F.replace(text, F.lit(ligature), F.lit(letters))
     return F.btrim(F.regexp_replace(F.translate(text, ACCENTED, PLAIN), "[^a-z0-9]+", blank), F.lit(blank))
 
 
+def _character(code: Column) -> Column:
+    """The character of a code point, null if there is none."""
+    low = F.lpad(F.hex(code), 4, "0")
+    above = code - 0x10000
+    high = F.concat(F.hex(F.shiftright(above, 10) + 0xD800), F.hex(above.bitwiseAND(0x3FF) + 0xDC00))
+    return F.when(code < 0x10000, F.when(~code.between(0xD800, 0xDFFF), F.decode(F.unhex(low), "UTF-16BE"))).when(code <= 0x10FFFF, F.decode(F.unhex(high), "UTF-16BE"))
+
+
+def _put(pattern: str, base: int):
+    """Replaces an entity that fits the pattern by its character."""
+
+    def put(held: Column, entity: Column) -> Column:
+        code = F.conv(F.regexp_extract(entity, pattern, 1), base, 10).cast("bigint")
+        return F.replace(held, entity, F.coalesce(_character(code), entity))
+
+    return put
+
+
 def decoded(text: Column) -> Column:
-    """Named entities replaced; unknown ones stay."""
+    """Decimal, hexadecimal, then named entities replaced; unknown ones stay, so `&#38;lt;` is decoded twice."""
+    for pattern, base in ((r"&#([0-9]{1,9});", 10), (r"&#[xX]([0-9a-fA-F]{1,7});", 16)):
+        whole = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+
+        text = F.when(F.contains(text, F.lit("&#")), F.aggregate(whole, text, _put(pattern, base))).otherwise(text)
     for name, value in ENTITIES:
         text = F.regexp_replace(text, f"(?i)&{name};", value)
     return text
@@ -50,35 +101,49 @@ def lines(html: Column) -> Column:
 def is_instruction(line: Column) -> Column:
     """Lines that tell a visitor what to choose or fill in."""
     text = F.lower(squeezed(line))
-    return text.rlike(r"^(?:pilih|pilihkan|select|choose|silakan pilih|silahkan pilih|tentukan|masukkan|masukan|isi|klik)(?:$|[^a-z0-9_])") | text.rlike(rf"(?:^|[^a-z0-9_])(?:choose|select)(?:$|[^a-z0-9_]).{{0,50}}{PRODUCT_UNIT}(?:$|[^a-z0-9_])")
+    # Words that open or join an instruction.
+    opens = text.rlike(rf"^(?:pilih|pilihkan|select|choose|silakan pilih|silahkan pilih|tentukan|masukkan|masukan|isi|klik){END}")
+    either = text.rlike(rf"{WORD}{CHOICE}{END}.{{0,40}}{WORD}atau{END}.{{0,40}}{WORD}{CHOICE}{END}")
+    return opens | either | text.rlike(rf"{WORD}(?:choose|select){END}.{{0,50}}{WORD}{CHOICE}{END}")
 
 
 def is_rounded_price(line: Column) -> Column:
     """Prices in words or thousands, like `Rp 20 ribu`."""
-    return F.lower(squeezed(line)).rlike(r"(?:^|[^a-z0-9_])(?:rp\.?|idr)\s*\d[\d.,]*\s*(?:ribu(?:an)?|rb|k)(?:$|[^a-z0-9_])")
+    return F.lower(squeezed(line)).rlike(rf"(?:{WORD}rp\.?|{WORD}idr{END})\s*\d[\d.,]*\s*(?:ribu(?:an)?|rb|k){END}")
 
 
 def counted_products(line: Column) -> Column:
-    return F.regexp_count(F.lower(squeezed(line)), F.lit(rf"\d[\d.,]*\s*(?:bonus\s*)?{PRODUCT_UNIT}"))
+    return F.regexp_count(F.lower(squeezed(line)), F.lit(rf"{WORD}\d[\d.,]*\s*(?:bonus\s*)?{PRODUCT_UNIT}{END}"))
 
 
 def is_marketing(line: Column) -> Column:
     """Sentences about products that are not a product themselves."""
     text = F.lower(squeezed(line))
     words, products = F.size(F.split(text, " ")), counted_products(line)
-    opens = text.rlike(r"^(?:untuk|kamu|anda|dengan|jika|kalau|cukup|mulai)(?:$|[^a-z0-9_])") | text.rlike(r"^top\s*up\s+\d")
-    promo = text.rlike(r"^paket(?:$|[^a-z0-9_])") & text.contains(":") & text.rlike(r"(?:^|[^a-z0-9_])(?:amankan|dapatkan|nikmati|stok|cuma|hanya|hemat|promo|termurah)(?:$|[^a-z0-9_])")
-    you = text.rlike(r"(?:^|[^a-z0-9_])(?:kamu|anda)\s+(?:bisa|dapat|akan)(?:$|[^a-z0-9_])")
-    return is_instruction(line) | is_rounded_price(line) | promo | (products > 1) | ((words > 18) & (products >= 1)) | ((words >= 8) & opens) | ((words >= 10) & you)
+    # Words that open or fill such sentences.
+    opens = text.rlike(rf"^(?:(?:untuk|kamu|anda|dengan|jika|kalau|cukup|mulai){END}|top\s*up\s+\d)")
+    promo = text.rlike(rf"^paket{END}") & text.contains(":") & text.rlike(rf"{WORD}(?:amankan|dapatkan|nikmati|stok|cuma|hanya|hemat|promo|termurah){END}")
+    you = text.rlike(rf"{WORD}(?:kamu|anda)\s+(?:bisa|dapat|akan){END}")
+    gain = text.rlike(rf"{WORD}(?:bisa|dapat|dapatkan|mendapatkan|nikmati){END}.{{0,50}}{WORD}{CURRENCY}{END}")
+    return is_instruction(line) | is_rounded_price(line) | promo | (products > 1) | ((words > 18) & (products >= 1)) | ((words >= 8) & opens) | ((words >= 10) & (you | gain))
+
+
+def is_named_package(line: Column) -> Column:
+    """Lines that are nothing but the name of a package, with a game before or after it and an amount after it perhaps."""
+    return F.lower(squeezed(line)).rlike(rf"^(?:{GAME}\s*[-\u2013\u2014:]?\s*)?{NAMED}(?:\s*\$?\s*\d+(?:[.,]\d+)?)?(?:\s*[-\u2013\u2014:]?\s*{GAME})?$")
+
+
+def is_numeric_product(line: Column) -> Column:
+    return F.lower(squeezed(line)).rlike(rf"\d[\d.,]*(?:\s*\+\s*\d[\d.,]*)?\s*(?:bonus\s*)?{PRODUCT_UNIT}{END}")
 
 
 def is_product(line: Column) -> Column:
-    """Lines that name an amount of a unit, and are nothing else."""
+    """Lines that name an amount of a unit or a package, and are nothing else."""
     text = F.lower(squeezed(line))
     size = F.char_length(text)
+    # Headings that are no product.
     stop = text.rlike(r"^(?:image:|(?:dari|best seller|promo|diskon|pilih|harga|nominal|deskripsi|detail|lihat semua|pilih nominal|pilih produk|pilih diamond)$)") | text.rlike(r"^(?:rp\.?\s*)?\d[\d.,]*$")
-    counted = text.rlike(rf"\d[\d.,]*(?:\s*\+\s*\d[\d.,]*)?\s*(?:bonus\s*)?{PRODUCT_UNIT}(?:$|[^a-z0-9_])")
-    return (size >= 2) & (size <= 160) & ~is_marketing(line) & ~stop & counted
+    return (size >= 2) & (size <= 160) & ~is_marketing(line) & ~stop & (is_numeric_product(line) | is_named_package(line))
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerloom.functions import money, text
 from offerloom.functions.text import lines
 
 
@@ -35,3 +36,32 @@ def nearest_following(rows: DataFrame, key: str, order: list[str], is_product, p
     rows = rows.withColumns({"_product": is_product.cast("int"), "_price": price}).withColumn("segment", F.sum("_product").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     ahead = Window.partitionBy(key, "segment").orderBy(*order).rowsBetween(Window.currentRow, distance)
     return rows.withColumn("price", F.first("_price", ignorenulls=True).over(ahead)).filter("_product = 1 and price is not null").drop("_product", "_price")
+
+
+def line_offers(rows: DataFrame, distance: int, id_col: str = "page_id") -> DataFrame:
+    """(id, pos, original_name, final_price, price_text): products with the nearest price at or after their line.
+
+    A price lies at most `distance` lines away (one line for a named package)
+    and before the next product. Instructions, marketing and rounded prices are
+    passed over, and a price must carry its currency. Of equal names and prices
+    of a page the first stays.
+    """
+    line = F.col("line")
+    flags = rows.withColumns({"_product": text.is_product(line), "_named": text.is_named_package(line), "_price": F.when(~text.is_marketing(line) & F.lower(line).rlike(rf"{text.WORD}(?:idr{text.END}|rp)"), money.rupiah(line))})
+    by = Window.partitionBy(id_col).orderBy("pos")
+    flags = flags.withColumn("_segment", F.count_if("_product").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    item = F.when(F.col("_price") > 0, F.struct(F.col("_price").alias("price"), line.alias("text")))
+    ahead = Window.partitionBy(id_col, "_segment").orderBy("pos")
+    near, far = (F.first(item, ignorenulls=True).over(ahead.rowsBetween(Window.currentRow, d)) for d in (1, distance))
+    found = flags.withColumn("_found", F.when(F.col("_named"), near).otherwise(far)).filter("_product and _found is not null")
+    offers = found.select(id_col, "pos", line.alias("original_name"), F.col("_found.price").alias("final_price"), F.col("_found.text").alias("price_text"))
+    first = Window.partitionBy(id_col, F.lower(text.squeezed(F.col("original_name"))), "final_price").orderBy("pos")
+    return offers.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+
+
+def unit_near_price(rows: DataFrame, is_unit, id_col: str = "page_id", within: int = 5) -> DataFrame:
+    """(id, paired): whether a page has a line of a unit with an exact price in it or in the next few lines."""
+    line = F.col("line")
+    ahead = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.currentRow, within)
+    price = F.bool_or(money.has_price(line) & ~money.is_start_price(line)).over(ahead)
+    return rows.withColumn("_paired", is_unit & price).groupBy(id_col).agg(F.bool_or("_paired").alias("paired"))

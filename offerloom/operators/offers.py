@@ -7,11 +7,12 @@ always decided by it and never by the order of rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerloom.functions.money import has_mark
 from offerloom.functions.names import canonicalized
-from offerloom.functions.text import squeezed
+from offerloom.functions.text import normalized, squeezed
 
 KEY = ["game_id", "canonical_key"]
 
@@ -79,3 +80,73 @@ def type_facets(groups: DataFrame) -> DataFrame:
 def page_of(rows: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
     """A page of rows by offset and limit (1 to 20)."""
     return rows.orderBy(order).offset(max(0, offset)).limit(min(20, max(1, limit)))
+
+
+def first_strict(offers: DataFrame, scope: list[str]) -> DataFrame:
+    """The first arriving offer of each normalised name and price within a scope; no names and prices under 100 go."""
+    named = offers.filter((F.col("original_name") != "") & (F.col("final_price") >= 100)).withColumn("name_key", normalized(F.col("original_name")))
+    return named.groupBy(*scope, "name_key", "final_price").agg(F.min_by(F.struct(*[c for c in offers.columns if c not in (*scope, "final_price")]), "arrival_seq").alias("_f")).select(*scope, "final_price", "_f.*")
+
+
+def sanitized(offers: DataFrame, page_text: str) -> DataFrame:
+    """Offers of 100 rupiah at least whose price text, or else page, speaks of rupiah; foreign amounts go."""
+    return offers.filter((F.col("final_price") >= 100) & (F.coalesce(F.lower("price_text").rlike(r"(?<![A-Za-z0-9_])(?:idr(?![A-Za-z0-9_])|rp)"), F.lit(False)) | has_mark(F.col(page_text))))
+
+
+def as_live(offers: DataFrame, strategy: str, replace: bool = False) -> DataFrame:
+    """What was read from a page is live; where it was found moves to extraction_source, and the strategy stays if there is one (unless replaced)."""
+    blank = lambda c: F.nullif(F.col(c), F.lit(""))
+    own = F.lit(strategy) if replace else F.coalesce(blank("access_strategy"), F.lit(strategy))
+    return offers.withColumns({"extraction_source": F.coalesce(blank("extraction_source"), blank("source"), F.lit(strategy)), "source": F.lit("live"), "access_strategy": own})
+
+
+def visible_groups(offers: DataFrame, stores: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
+    """Groups as a user sees them: stores are chosen within groups, so that metrics follow and empty groups vanish, then package types."""
+    groups = group_offers(offers.filter(F.col("store_id").isin(stores)) if stores else offers)
+    return groups.filter(F.col("package_type").isin(types)) if types else groups
+
+
+def totals(offers: DataFrame, groups: DataFrame, checked_stores: int) -> DataFrame:
+    """One row of counts over a search's offers and groups."""
+    own = offers.agg(F.count_if(F.col("source") == "live").alias("live_offer_count"), F.count("*").alias("offer_count"), F.count_distinct("store_id").alias("store_count"))
+    packages = groups.agg(F.count("*").alias("package_count"))
+    return own.crossJoin(packages).withColumn("checked_store_count", F.lit(checked_stores).cast("bigint"))  # one row each
+
+
+def capped(rows: DataFrame, key: list[str], order: list[str], most: int) -> DataFrame:
+    """At most so many rows of each key in order of arrival; Spark limits each group before the shuffle too."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter(F.col("_n") <= most).drop("_n")
+
+
+def registered(adapters: DataFrame, registry: DataFrame) -> DataFrame:
+    """Adapters with category and verification of the registry; a store it doesn't know is a partner known by its feed."""
+    known = adapters.join(registry.select("store_id", "category", "verification"), "store_id", "left")
+    return known.withColumns({"category": F.coalesce("category", F.lit("partner")), "verification": F.coalesce("verification", F.lit("feed"))})
+
+
+def _laid_over(own: Column, over: Column) -> Column:
+    kept = F.map_filter(own, lambda k, _: ~F.array_contains(F.map_keys(over), k))
+    return F.when(over.isNull(), own).when(own.isNull(), over).otherwise(F.map_concat(kept, over))
+
+
+def overridden(stores: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Stores with what an override says in place of their own; a map keeps the keys that it doesn't name."""
+    out = stores.alias("s").join(overrides.alias("o"), "store_id", "left")
+    columns = ["store_id"]
+    for f in stores.schema:
+        if f.name == "store_id":
+            continue
+        if f.name not in overrides.columns:
+            columns.append(F.col(f"s.{f.name}"))
+        elif f.dataType.typeName() == "map":
+            columns.append(_laid_over(F.col(f"s.{f.name}"), F.col(f"o.{f.name}")).alias(f.name))
+        else:
+            columns.append(F.coalesce(F.col(f"o.{f.name}"), F.col(f"s.{f.name}")).alias(f.name))
+    return out.select(*columns)
+
+
+def store_pages(games: DataFrame, stores: DataFrame) -> DataFrame:
+    """(game_id, store_id, url, code) for each game and store: its address, or that none is configured. Games hold a map of addresses by store."""
+    listed = games.select("game_id", F.explode_outer("stores").alias("store_id", "url"))
+    chosen = games.select("game_id").crossJoin(F.broadcast(stores.select("store_id")))  # the registry of stores, a few hundred rows of one id
+    return chosen.join(listed, ["game_id", "store_id"], "left").withColumn("code", F.when(F.coalesce(F.col("url"), F.lit("")) == "", F.lit("NOT_CONFIGURED")))

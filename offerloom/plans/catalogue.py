@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import money, names, status, text, urls
 from offerloom.operators import attempts, lines, offers, resolve
+from offerloom.plans import rules
 from offerloom.sources.tables import feed_offers, table
 from offerloom.streaming.merge import merged
 
@@ -444,3 +445,7 @@ s AS (SELECT *, regexp_replace(host, '^www\.', '') AS a, regexp_extract(host, '(
 SELECT page_id, scheme, host, path, a <> '' AND b <> '' AND (a = b OR ends_with(a, '.' || b) OR ends_with(b, '.' || a)) AS same_site FROM s""",
     "normalize_text": f"SELECT doc_id, md5({_norm('text')}) AS split, md5({_norm('text', '')}) AS folded FROM documents",
 }
+
+rules.bind(_OFFERS, _GROUPS, _SCORES)
+QUERIES |= rules.QUERIES
+ORACLES |= rules.ORACLES
