@@ -4,12 +4,15 @@
    the path of the URL starts with the rule's; the longest rule wins. URLs that
    a rule decides are the labelled ones.
 2. Per host, the segments of the paths form a tree. A run of digits becomes
-   `#`; below a node with many, mostly different, children all children become
-   `*`; what lies deeper than DEPTH segments becomes one `**`. This goes level
-   by level, so that a node's children are counted below its own template.
-3. A branch (host, template) joins the pool of its template over all hosts as
+   `#`; below a node with many children among which none stands out, all
+   children become `*`. Children are weighed by their distinct paths, so
+   repeated URLs change nothing. This goes level by level, so that a node's
+   children are counted below its own template, until no node has enough paths
+   below it to have that many children; what is left of a path stays as it is.
+3. A branch (host, template) is merged with its siblings below the same node as
    long as a two-proportion z-test doesn't tell their shares of blocked URLs
-   apart; what differs stands alone.
+   apart; what differs stands alone. Branches without any label in what they
+   are merged with take the labels of their template on all hosts.
 4. A template is rejected if its share of blocked among labelled URLs, smoothed
    by SMOOTH URLs of the share of all, reaches REJECT.
 
@@ -30,6 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from offerloom.llm.durable import durable
+
 #: (verdict, host, path)
 RULES = (
     ("allow", "org", "/"),
@@ -38,8 +43,7 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DEPTH = 3  # levels of a template that are told apart
-MANY, MOSTLY = 8, 2  # a node is variable from so many children on, if its URLs are less than MOSTLY times as many
+MANY, EVEN = 8, 4  # a node is variable from so many children on, if none has EVEN times the mean of their paths
 SMOOTH, REJECT, Z2 = 5, 0.5, 3.84  # pseudo-count, share from which a template goes, square of z at 95 %
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -62,60 +66,66 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
-def _segments(path: Column) -> list[Column]:
-    """DEPTH columns: the first segments with digits generalised, null past the end; the last one tells if more follow."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#"), "/")
-    own = [F.get(parts, k) for k in range(DEPTH)]
-    own[-1] = F.when(F.size(parts) > DEPTH, F.concat(own[-1], F.lit("/**"))).otherwise(own[-1])
-    return own
+def general(path: Column) -> Column:
+    """A path without its first slash, runs of digits generalised."""
+    return F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "#")
 
 
 def templates(branches: DataFrame) -> DataFrame:
-    """Adds the template to distinct (host, s0.., n, labelled, blocked) and sums rows that become one."""
-    now = branches.withColumn("template", F.lit(""))
-    for level in range(DEPTH):
-        seg = f"s{level}"
-        children = now.filter(F.col(seg).isNotNull()).groupBy("host", "template", seg).agg(F.sum("n").alias("n"))
-        nodes = children.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("n").alias("below"))
-        variable = nodes.filter((F.col("children") >= MANY) & (F.col("below") < MOSTLY * F.col("children"))).select("host", "template", F.lit(True).alias("variable"))
-        step = F.when(F.col(seg).isNull(), F.col("template")).when(F.col("variable"), F.concat("template", F.lit("/*"))).otherwise(F.concat("template", F.lit("/"), F.col(seg)))
-        now = now.join(variable, ["host", "template"], "left").withColumn("template", step).drop("variable")
-    return now
+    """Adds the template and its parent's to distinct (host, general, labelled, blocked)."""
+    now = branches.withColumns({"parts": F.split("general", "/"), "template": F.lit("")})
+    level, done = 0, []
+    while True:
+        segment = F.get("parts", level)
+        children = now.filter(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.count("*").alias("paths"))
+        nodes = children.groupBy("host", "template").agg(F.count("*").alias("children"), F.sum("paths").alias("below"), F.max("paths").alias("most")).filter(F.col("below") >= MANY)
+        variable = (F.col("children") >= MANY) & (F.col("most") * F.col("children") < EVEN * F.col("below"))
+        here = durable(now.join(nodes.select("host", "template", variable.alias("variable")), ["host", "template"], "left"))
+        rest = F.concat("template", F.lit("/"), F.array_join(F.slice("parts", level + 1, F.size("parts")), "/"))
+        ends = segment.isNull() | F.col("variable").isNull()
+        done.append(here.filter(ends).withColumn("template", F.when(segment.isNull(), F.col("template")).otherwise(rest)).drop("variable", "parts"))
+        now = here.filter(~ends).withColumn("template", F.concat("template", F.lit("/"), F.when(F.col("variable"), "*").otherwise(segment))).drop("variable")
+        level += 1
+        if now.isEmpty():
+            break
+    out = done[0]
+    for part in done[1:]:
+        out = out.union(part)
+    return out.withColumn("parent", F.regexp_replace("template", "/[^/]*$", ""))
+
+
+def _apart(n1: Column, b1: Column, n2: Column, b2: Column) -> Column:
+    """Whether two shares of blocked URLs differ."""
+    n1, b1, n2, b2 = (c.cast("double") for c in (n1, b1, n2, b2))
+    return (n1 > 0) & (n2 > 0) & ((b1 * n2 - b2 * n1) * (b1 * n2 - b2 * n1) * (n1 + n2) > Z2 * n1 * n2 * (b1 + b2) * (n1 + n2 - b1 - b2))
 
 
 def judged(urls: DataFrame) -> DataFrame:
-    """(host, s0.., method verdict) for each distinct generalised path of (host, s0.., verdict)."""
-    segs = [f"s{k}" for k in range(DEPTH)]
-    branches = urls.groupBy("host", *segs).agg(F.count("*").alias("n"), F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked"))
+    """(host, general, template, purity) for each distinct generalised path of (host, general, verdict)."""
+    branches = durable(urls.groupBy("host", "general").agg(F.count("verdict").alias("labelled"), F.count_if(F.col("verdict") == "block").alias("blocked")))
     named = templates(branches)
-    branch = named.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    pool = branch.groupBy("template").agg(F.sum("labelled").alias("pool_n"), F.sum("blocked").alias("pool_b"))
-    whole = pool.agg(F.sum("pool_n").alias("all_n"), F.sum("pool_b").alias("all_b"))  # one row
-    both = branch.join(pool, "template").withColumns({"rest_n": F.col("pool_n") - F.col("labelled"), "rest_b": F.col("pool_b") - F.col("blocked")})
-    n1, b1, n2, b2 = (F.col(c).cast("double") for c in ("labelled", "blocked", "rest_n", "rest_b"))
-    apart = (n1 > 0) & (n2 > 0) & ((b1 * n2 - b2 * n1) * (b1 * n2 - b2 * n1) * (n1 + n2) > Z2 * n1 * n2 * (b1 + b2) * (n1 + n2 - b1 - b2))
-    counts = both.crossJoin(F.broadcast(whole))  # a single row of two sums
-    n, b = (F.when(apart, own).otherwise(pooled).cast("double") for own, pooled in ((F.col("labelled"), F.col("pool_n")), (F.col("blocked"), F.col("pool_b"))))
-    prior = F.when(F.col("all_n") > 0, F.col("all_b") / F.col("all_n")).otherwise(F.lit(0.0))
-    purity = (b + SMOOTH * prior) / (n + SMOOTH)
-    verdicts = counts.select("host", "template", F.round(purity, 9).alias("purity"))
-    return named.select("host", *segs, "template").join(verdicts, ["host", "template"])
+    branch = named.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
+    siblings = branch.groupBy("host", "parent").agg(F.sum("n").alias("all_n"), F.sum("b").alias("all_b"))
+    merged = branch.join(siblings, ["host", "parent"])
+    apart = _apart(F.col("n"), F.col("b"), F.col("all_n") - F.col("n"), F.col("all_b") - F.col("b"))
+    merged = merged.select("host", "parent", "template", "n", "b", *(F.when(apart, F.col(own)).otherwise(F.col(pool)).alias(f"own_{own}") for own, pool in (("n", "all_n"), ("b", "all_b"))))
+    pool = branch.groupBy("template").agg(F.sum("n").alias("pool_n"), F.sum("b").alias("pool_b"))
+    whole = pool.agg(F.sum("pool_n").alias("sum_n"), F.sum("pool_b").alias("sum_b"))  # one row
+    counts = merged.join(pool, "template").crossJoin(F.broadcast(whole))  # a single row of two sums
+    n, b = (F.when(F.col("own_n") > 0, F.col(f"own_{c}")).otherwise(F.col(f"pool_{c}")).cast("double") for c in ("n", "b"))
+    prior = F.when(F.col("sum_n") > 0, F.col("sum_b") / F.col("sum_n")).otherwise(F.lit(0.0))
+    purity = F.round((b + SMOOTH * prior) / (n + SMOOTH), 9)
+    return named.select("host", "parent", "general", "template").join(counts.select("host", "parent", "template", purity.alias("purity")), ["host", "parent", "template"]).select("host", "general", "template", "purity")
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per URL: id, host, path, rule, template, purity and verdict."""
     url = F.col(url_col)
-    segs = [f"s{k}" for k in range(DEPTH)]
     urls = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"))
     urls = urls.withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
-    urls = urls.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("verdict"), *(s.alias(n) for s, n in zip(_segments(F.col("path")), segs)))
-    learnt = judged(urls.select("host", *segs, "verdict"))
-    right = learnt.select(F.col("host").alias("_host"), *(F.col(s).alias(f"_{s}") for s in segs), "template", "purity")
-    same = F.col("host") == F.col("_host")
-    for s in segs:
-        same &= F.col(s).eqNullSafe(F.col(f"_{s}"))
+    urls = urls.select(id_col, "host", "path", F.col("_rule.rule").alias("rule"), F.col("_rule.verdict").alias("verdict"), general(F.col("path")).alias("general"))
     own = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
-    return urls.join(right, same, "left").select(id_col, "host", "path", "rule", "template", "purity", F.coalesce("verdict", own).alias("verdict"))
+    return urls.join(judged(urls), ["host", "general"], "left").select(id_col, "host", "path", "rule", "template", "purity", F.coalesce("verdict", own).alias("verdict"))
 
 
 def op1_url_filters(spark, sf_dir: str) -> DataFrame:
@@ -123,11 +133,15 @@ def op1_url_filters(spark, sf_dir: str) -> DataFrame:
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
+SQL_LEVELS = 12  # the SQL is written out level by level, for paths of so many segments; the DataFrame goes on where paths do
+
+
 def _level_sql(k: int) -> str:
     return f"""
-t{k + 1} AS (SELECT t.* REPLACE (CASE WHEN s{k} IS NULL THEN t.template WHEN v.host IS NOT NULL THEN t.template || '/*' ELSE t.template || '/' || s{k} END AS template)
-  FROM t{k} t LEFT JOIN (SELECT host, template FROM (SELECT host, template, s{k}, sum(n) AS n FROM t{k} WHERE s{k} IS NOT NULL GROUP BY ALL)
-    GROUP BY ALL HAVING count(*) >= {MANY} AND sum(n) < {MOSTLY} * count(*)) v ON v.host = t.host AND v.template = t.template),"""
+t{k + 1} AS (SELECT t.* REPLACE (CASE WHEN len(parts) <= {k} THEN t.template ELSE t.template || '/' || CASE WHEN v.host IS NOT NULL THEN '*' ELSE parts[{k + 1}] END END AS template,
+    CASE WHEN len(parts) <= {k} THEN t.parent ELSE t.template END AS parent)
+  FROM t{k} t LEFT JOIN (SELECT host, template FROM (SELECT host, template, parts[{k + 1}] AS s, count(*) AS paths FROM t{k} WHERE len(parts) > {k} GROUP BY ALL)
+    GROUP BY ALL HAVING count(*) >= {MANY} AND max(paths) * count(*) < {EVEN} * sum(paths)) v ON v.host = t.host AND v.template = t.template),"""
 
 
 OP1_SQL = rf"""
@@ -137,18 +151,17 @@ rules(v, h, p) AS (VALUES {", ".join(str(r) for r in RULES)}),
 r AS (SELECT u.page_id, u.host, u.path, any_value(f.rule) AS rule, any_value(f.v) AS verdict FROM u LEFT JOIN
   (SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM (SELECT DISTINCT host, path FROM u) x, rules
    WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY ALL) f ON f.host = u.host AND f.path = u.path GROUP BY ALL),
-s AS (SELECT *, string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g'), '/') AS parts FROM r),
-g AS (SELECT * EXCLUDE (parts), {", ".join(f"parts[{k + 1}] AS s{k}" for k in range(DEPTH - 1))},
-  CASE WHEN len(parts) > {DEPTH} THEN parts[{DEPTH}] || '/**' ELSE parts[{DEPTH}] END AS s{DEPTH - 1} FROM s),
-t0 AS (SELECT host, {", ".join(f"s{k}" for k in range(DEPTH))}, count(*) AS n, count(verdict) AS labelled, count(*) FILTER (verdict = 'block') AS blocked, '' AS template FROM g GROUP BY ALL),
-{"".join(_level_sql(k) for k in range(DEPTH))}
-b AS (SELECT host, template, sum(labelled)::DOUBLE AS n1, sum(blocked)::DOUBLE AS b1 FROM t{DEPTH} GROUP BY ALL),
-p AS (SELECT template, sum(n1) AS pn, sum(b1) AS pb FROM b GROUP BY ALL),
-a AS (SELECT CASE WHEN sum(pn) > 0 THEN sum(pb) / sum(pn) ELSE 0 END AS prior FROM p),
-z AS (SELECT b.*, pn, pb, pn - n1 AS n2, pb - b1 AS b2 FROM b JOIN p USING (template)),
-y AS (SELECT *, n1 > 0 AND n2 > 0 AND (b1 * n2 - b2 * n1) * (b1 * n2 - b2 * n1) * (n1 + n2) > {Z2} * n1 * n2 * (b1 + b2) * (n1 + n2 - b1 - b2) AS apart FROM z),
-x AS (SELECT host, template, round((CASE WHEN apart THEN b1 ELSE pb END + {SMOOTH} * prior) / (CASE WHEN apart THEN n1 ELSE pn END + {SMOOTH}), 9) AS purity FROM y, a),
-m AS (SELECT t.host, {", ".join(f"s{k}" for k in range(DEPTH))}, purity FROM t{DEPTH} t JOIN x ON x.host = t.host AND x.template = t.template)
+g AS (SELECT *, regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '#', 'g') AS general FROM r),
+t0 AS (SELECT host, general, string_split(general, '/') AS parts, count(verdict) AS labelled, count(*) FILTER (verdict = 'block') AS blocked, '' AS template, '' AS parent FROM g GROUP BY ALL),
+{"".join(_level_sql(k) for k in range(SQL_LEVELS))}
+b AS (SELECT host, parent, template, sum(labelled)::DOUBLE AS n1, sum(blocked)::DOUBLE AS b1 FROM t{SQL_LEVELS} GROUP BY ALL),
+z AS (SELECT *, sum(n1) OVER (PARTITION BY host, parent) AS an, sum(b1) OVER (PARTITION BY host, parent) AS ab, sum(n1) OVER (PARTITION BY template) AS pn, sum(b1) OVER (PARTITION BY template) AS pb FROM b),
+y AS (SELECT *, an - n1 AS n2, ab - b1 AS b2 FROM z),
+x AS (SELECT *, n1 > 0 AND n2 > 0 AND (b1 * n2 - b2 * n1) * (b1 * n2 - b2 * n1) * (n1 + n2) > {Z2} * n1 * n2 * (b1 + b2) * (n1 + n2 - b1 - b2) AS apart FROM y),
+w AS (SELECT *, CASE WHEN apart THEN n1 ELSE an END AS mn, CASE WHEN apart THEN b1 ELSE ab END AS mb FROM x),
+a AS (SELECT CASE WHEN sum(n1) > 0 THEN sum(b1) / sum(n1) ELSE 0 END AS prior FROM b),
+q AS (SELECT host, parent, template, round((CASE WHEN mn > 0 THEN mb ELSE pb END + {SMOOTH} * prior) / (CASE WHEN mn > 0 THEN mn ELSE pn END + {SMOOTH}), 9) AS purity FROM w, a),
+m AS (SELECT t.host, t.general, purity FROM t{SQL_LEVELS} t JOIN q ON q.host = t.host AND q.parent = t.parent AND q.template = t.template)
 SELECT g.page_id, g.host, g.path, g.rule, coalesce(g.verdict, CASE WHEN m.purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict
-FROM g LEFT JOIN m ON m.host = g.host AND {" AND ".join(f"m.s{k} IS NOT DISTINCT FROM g.s{k}" for k in range(DEPTH))}
+FROM g LEFT JOIN m ON m.host = g.host AND m.general = g.general
 """
