@@ -55,7 +55,7 @@ def structured(text: Column) -> Column:
         .when(bare.rlike(r"^\d+[.,]\d{1,2}$"), _rounded(bare))
         .otherwise(_digits(bare))
     )
-    return F.when(found > 0, found).when(loose > 0, loose)
+    return F.when(found > 0, found).when(bare.rlike("[1-9]"), loose)
 
 
 def spaced(text: Column) -> Column:
