@@ -10,7 +10,8 @@ gives the shortest exact code.
 With frozen statistics the code length depends only on the context state and
 the byte, so the trees of all languages are flattened into one table
 (state, byte) -> code lengths, and texts are scored by two table look-ups a
-byte. Bytes that no tree has seen behave alike and share one column.
+byte. The table has a row for every context of the sample, so its size grows with
+the sample's contexts times its languages, and with nothing else. Bytes that no tree has seen behave alike and share one column.
 
 Defined results: a null text, a text without any letter, or no labelled row at
 all gives `und` with score 0; equal code lengths go to the first language in
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from offerloom.llm.arrow import fold_key, slices
 
 PER_LANGUAGE = 400  # sampled texts of each language, about
-MAX_STATES = 40_000  # contexts of full length kept in the tree, most frequent first
 ORDER = 3
 PAD = b"\n" * ORDER
 
@@ -42,7 +42,7 @@ def raw(text: str | None) -> bytes:
 class ContextTrees:
     """Frozen statistics of all languages as look-up tables."""
 
-    def __init__(self, samples: dict[str, list[str]], max_states: int = MAX_STATES):
+    def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
         data = [[np.frombuffer(PAD + raw(t), np.uint8) for t in samples[lang]] for lang in self.langs]
         seen = np.zeros(256, bool)
@@ -58,11 +58,8 @@ class ContextTrees:
             codes = [self.grams(self.classes[t]) for t in texts]
             grams.append(np.unique(np.concatenate(codes or [np.zeros(0, np.int64)]), return_counts=True))
         contexts = np.concatenate([g // size for g, _ in grams] or [np.zeros(0, np.int64)])
-        weight = np.concatenate([n for _, n in grams] or [np.zeros(0, np.int64)])
-        full, inverse = np.unique(contexts, return_inverse=True)
-        total = np.bincount(inverse, weight, len(full))
-        full = np.sort(full[np.argsort(-total, kind="stable")[:max_states]])
-        # States: the kept full contexts, then every shorter context that is a suffix of any seen one, then the empty one.
+        full = np.unique(contexts)
+        # States: all full contexts seen, then every shorter context that is a suffix of any seen one, then the empty one.
         two, one = np.unique(contexts % size**2), np.unique(contexts % size)
         base2, base1, base0 = len(full), len(full) + len(two), len(full) + len(two) + len(one)
         n_states = base0 + 1
