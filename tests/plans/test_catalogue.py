@@ -4,7 +4,7 @@ import pytest
 from offerloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-FAST = ["group_offers", "canonicalize_names", "cheapest_offers", "dedupe_first", "fallback_union", "fallback_price", "game_resolution", "provider_summary", "error_priority", "strategy_chain", "candidate_fold", "nearest_following", "feed_products", "html_lines", "line_slice", "scoped_lines", "page_links", "url_parts", "normalize_text"]
+FAST = ["group_offers", "canonicalize_names", "cheapest_offers", "dedupe_first", "fallback_union", "fallback_price", "game_resolution", "provider_summary", "error_priority", "strategy_chain", "candidate_fold", "nearest_following", "feed_products", "html_lines", "line_slice", "scoped_lines", "page_links", "url_parts", "normalize_text", "product_lines"]
 
 
 @pytest.fixture(scope="module")
