@@ -33,7 +33,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table to the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}.parquet"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.parquet(path)
 
 
@@ -41,5 +41,5 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """Write df as a table of the warehouse with one file for each bucket of key; grouping by key needs no shuffle then."""
     spark = df.sparkSession
     name = f"bucketed_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).saveAsTable(name)
+    df.repartition(buckets, key).write.option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
     return spark.table(name)

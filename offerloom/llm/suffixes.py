@@ -16,15 +16,21 @@ needed: to depth `span`.
    pointer): a bucket with one kind of block is fully refined, and the smallest
    document in it decides for all.
 3. Buckets with several kinds of blocks hold repeats that end inside a block.
-   There the blocks themselves, one for each kind, are cut into their strings of
-   50 bytes, which are sorted and compared as such.
+   There the bytes of one block of each kind meet, and their strings of 50 bytes
+   are told apart exactly: places are sorted into buckets of q-grams (q = 7),
+   which are refined by sorting on the pair of a place's own bucket and the
+   bucket at the offset covered so far. Numbers of buckets are dense, so equal
+   numbers are equal bytes; the new ones replace the old and serve as pointers
+   of the next, twice as deep pass (7, 14, 28, 50).
 4. What each block has learnt goes back to the group of documents it came from.
 
 Documents are dealt to groups of bounded size by a hash of their id. A group
 sends each kind of block once, with the smallest document that has it, so a
-passage in a third of all documents is as many rows as there are groups, and no
-more than that meets anywhere. The number of groups and of buckets grows with
-the bytes read.
+passage in a third of all documents is as many rows as there are groups. Blocks
+at the edges of such a passage differ by document: a bucket of more than
+HOT_KINDS kinds is cut into strings first, each group sends its different
+strings once, and these meet by a hash of their own. The number of groups and of
+ranges grows with the bytes read.
 
 Defined results: a null text is empty, and empty and shorter texts keep all;
 texts are UTF-8; rows with the same id each give a row, and repeats between them
@@ -49,6 +55,8 @@ from offerloom.llm.durable import bucketed, written
 SPAN, Q = 50, 20
 GROUP_BYTES = 2_000_000  # text in a group of documents, about
 BUCKET_BYTES = 24_000_000  # text whose anchors meet in one range of buckets, about
+HOT_KINDS = 4096  # kinds in a bucket from which its strings meet one by one
+GRAM = 7  # bytes of an initial bucket that one number holds
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 NONE = np.iinfo(np.int64).max
 
@@ -87,6 +95,37 @@ def _window_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (w - n)], x[w - n :]) if w > n else x
 
 
+def _dense(x: np.ndarray) -> np.ndarray:
+    """Equal numbers numbered alike from 0."""
+    order = np.argsort(x, kind="stable")
+    held = x[order]
+    new = np.zeros(len(x), np.int64)
+    new[1:] = held[1:] != held[:-1]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def buckets(b: np.ndarray) -> np.ndarray:
+    """Bucket of the string of SPAN bytes at each place: two places are in one bucket if and only if their strings are equal."""
+    m = max(0, len(b) - GRAM + 1)
+    gram = np.zeros(m, np.int64)
+    for k in range(GRAM):
+        gram = (gram << 8) | b[k : k + m]
+    held, depth = _dense(gram), GRAM
+    while depth < SPAN:
+        step = min(depth, SPAN - depth)
+        m = max(0, len(held) - step)
+        held = _dense(held[:m] * len(held) + held[step : step + m])
+        depth += step
+    return held
+
+
+def _runs(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each of several runs, end to end."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
 class Blocks:
     """Anchor, pointer and range of starting places of each block of some documents laid end to end."""
 
@@ -205,8 +244,8 @@ def _sent(docs: DataFrame, ranges: int) -> DataFrame:
     return docs.groupBy("grp").applyInArrow(send, _KINDS)
 
 
-def _learnt(sent: DataFrame) -> DataFrame:
-    """Back to each group: kinds found in a smaller document elsewhere (`low`), and kinds to look into (`mixed`)."""
+def _learnt(sent: DataFrame, ranges: int) -> DataFrame:
+    """Back to each group: kinds found in a smaller document elsewhere (`low`), and kinds to look into (`mixed`: 1, or 2 in a hot bucket)."""
 
     def meet(table: pa.Table) -> pa.Table:
         anchors, pointer, ids = (_planes(table.column(c).to_pylist(), w) for c, w in (("anchors", 6), ("pointers", 6), ("ids", 8)))
@@ -223,8 +262,9 @@ def _learnt(sent: DataFrame) -> DataFrame:
         low = ids[order][new_k][kind]  # smallest document of the kind
         bucket = np.cumsum(new_a) - 1
         # Whoever has a kind's smallest document looks into it; its other documents are covered as a whole.
-        mixed = (np.bincount(bucket, new_k)[bucket] > 1) & (low == ids[order])
-        told = (low < ids[order]) | mixed
+        kinds = np.bincount(bucket, new_k)[bucket]
+        mixed = np.where(low == ids[order], (kinds > 1).astype(np.int64) + (kinds > HOT_KINDS), 0)
+        told = (low < ids[order]) | (mixed > 0)
         rows, low, mixed = order[told], low[told], mixed[told]
         back = np.lexsort((anchors[rows], source[rows]))
         rows = rows[back]
@@ -232,7 +272,7 @@ def _learnt(sent: DataFrame) -> DataFrame:
         groups = table.column("grp").to_pylist()
         return pa.table([pa.array([groups[k] for k in full], pa.int32()), *blobs], names=["grp", "anchors", "pointers", "low", "mixed"])
 
-    return sent.groupBy("range").applyInArrow(meet, "grp int, anchors binary, pointers binary, low binary, mixed binary")
+    return sent.repartition(ranges, "range").groupBy("range").applyInArrow(meet, "grp int, anchors binary, pointers binary, low binary, mixed binary")
 
 
 def _lookup(blocks: Blocks, rows: np.ndarray, anchors: np.ndarray, pointer: np.ndarray) -> np.ndarray:
@@ -249,90 +289,129 @@ def _lookup(blocks: Blocks, rows: np.ndarray, anchors: np.ndarray, pointer: np.n
 def _answers(right: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchors, pointers, low, mixed) of all that a group has learnt."""
     has = lambda name: [x for x in right.column(name).to_pylist() if x is not None]
-    return _planes(has("anchors"), 6), _planes(has("pointers"), 6), _planes(has("low"), 8).view("<i8"), _planes(has("mixed"), 1) > 0
+    return _planes(has("anchors"), 6), _planes(has("pointers"), 6), _planes(has("low"), 8).view("<i8"), _planes(has("mixed"), 1).astype(np.int64)
+
+
+class Edges:
+    """What a group shows of its kinds to look into: stretches of bytes, and the slot of each string in them.
+
+    An ordinary kind is one stretch, its block; of hot kinds each different
+    string is a stretch. Both sides of the exchange build the same stretches
+    from the same documents, so their numbers are enough to speak of them.
+    """
+
+    def __init__(self, blocks: Blocks, rows: np.ndarray, low: np.ndarray, mixed: np.ndarray):
+        pick = np.flatnonzero(mixed > 0)
+        many = blocks.last[rows[pick]] - blocks.first[rows[pick]] + 1
+        place, own = _runs(blocks.first[rows[pick]], many), np.repeat(low[pick], many)
+        self.base = np.full(len(rows), -1, np.int64)  # of a kind, where its strings begin in slot
+        self.base[pick] = np.cumsum(many) - many
+        hot = mixed[pick] == 2
+        single = np.repeat(hot, many)
+        self.anchor = blocks.anchor[rows[pick[~hot]]]
+        self.first, self.many = blocks.first[rows[pick[~hot]]], many[~hot]
+        self.least = self.most = low[pick[~hot]]
+        self.slot = np.empty(len(place), np.int64)
+        self.slot[~single] = np.arange((~single).sum())
+        if single.any():
+            at = place[single]
+            held = blocks.bytes[(at[:, None] + np.arange(SPAN)).ravel()]
+            bucket = _dense(buckets(held)[::SPAN])
+            order = np.lexsort((own[single], bucket))
+            new = np.append(True, bucket[order][1:] != bucket[order][:-1])
+            end = np.append(np.flatnonzero(new)[1:], len(order)) - 1
+            self.slot[single] = bucket + self.many.sum()
+            self.anchor = np.append(self.anchor, blocks.grams[at[order[new]]])
+            self.first, self.many = np.append(self.first, at[order[new]]), np.append(self.many, np.ones(len(end), np.int64))
+            self.least, self.most = np.append(self.least, own[single][order[new]]), np.append(self.most, own[single][order[end]])
+        self.start = np.cumsum(self.many) - self.many  # first slot of each stretch
+
+
+def _edges(blocks: Blocks, ids: np.ndarray, answers: tuple) -> tuple[Edges, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges of a group, and for each of its blocks the kind, for each kind the smallest document here and anywhere."""
+    rows, kind, own = _kinds(blocks, ids)
+    anchors, pointer, low, mixed = answers
+    at = _lookup(blocks, rows, anchors, pointer)
+    known = np.flatnonzero(at >= 0)
+    look, smallest = np.zeros(len(rows), np.int64), own.copy()
+    look[known] = mixed[at[known]]
+    smallest[known] = np.minimum(own[known], low[at[known]])
+    return Edges(blocks, rows, own, look), kind, own, smallest
 
 
 def _shown(docs: DataFrame, learnt: DataFrame, ranges: int) -> DataFrame:
-    """The strings of 50 bytes of each mixed kind, from the group that has its smallest document, with the group's smallest and largest such document."""
+    """The bytes of each stretch that a group shows, with the smallest and largest document that looks for them."""
+    names = ["range", "grp", "stretch", "many", "ids", "more", "bytes"]
 
     def show(left: pa.Table, right: pa.Table) -> pa.Table:
-        names = ["range", "grp", "grams", "ids", "more"]
         if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())], names=names)
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), *[pa.binary()] * 5)], names=names)
         blocks, ids = _group_blocks(left)
-        rows, _, low = _kinds(blocks, ids)
-        anchors, pointer, _, mixed = _answers(right)
-        at = _lookup(blocks, rows, anchors, pointer)
-        pick = np.flatnonzero(at >= 0)
-        pick = pick[mixed[at[pick]]]
-        many = blocks.last[rows[pick]] - blocks.first[rows[pick]] + 1
-        place = np.repeat(blocks.first[rows[pick]] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        gram, own = blocks.grams[place], np.repeat(low[pick], many)
-        order = np.lexsort((own, gram))
-        gram, own = gram[order], own[order]
-        new = np.flatnonzero(np.append(True, gram[1:] != gram[:-1])) if len(gram) else np.zeros(0, np.int64)
-        last = np.append(new[1:], len(gram)) - 1 if len(gram) else new
-        gram, least, most = gram[new], own[new], own[last]
-        full, blobs = _dealt((gram % np.uint64(ranges)).astype(np.int64), ranges, [(gram, 8), (least, 8), (most - least, 8)])
-        return pa.table([pa.array(full, pa.int32()), pa.array([left.column("grp")[0].as_py()] * len(full), pa.int32()), *blobs], names=names)
+        e = _edges(blocks, ids, _answers(right))[0]
+        part = (e.anchor % np.uint64(ranges)).astype(np.int64)
+        full, blobs = _dealt(part, ranges, [(np.arange(len(part)), 4), (e.many, 1), (e.least, 8), (e.most - e.least, 8)])
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], [*full, ranges])
+        size = e.many + SPAN - 1
+        held = [blocks.bytes[_runs(e.first[o], size[o])].tobytes() for o in (order[x:y] for x, y in zip(cuts[:-1], cuts[1:]))]
+        return pa.table([pa.array(full, pa.int32()), pa.array([left.column("grp")[0].as_py()] * len(full), pa.int32()), *blobs, pa.array(held, pa.binary())], names=names)
 
-    return docs.groupBy("grp").cogroup(learnt.groupBy("grp")).applyInArrow(show, "range int, grp int, grams binary, ids binary, more binary")
+    return docs.groupBy("grp").cogroup(learnt.groupBy("grp")).applyInArrow(show, "range int, grp int, stretch binary, many binary, ids binary, more binary, bytes binary")
 
 
-def _resolved(shown: DataFrame) -> DataFrame:
-    """(grp, grams, lows): strings of mixed kinds that a document smaller than one of the group's has, and the smallest such."""
+def _resolved(shown: DataFrame, ranges: int) -> DataFrame:
+    """Back to each group: runs of strings in its stretches that a smaller document has, and the smallest such."""
 
     def meet(table: pa.Table) -> pa.Table:
-        gram, least, more = (_planes(table.column(c).to_pylist(), 8) for c in ("grams", "ids", "more"))
-        least, most = least.view("<i8"), (least + more).view("<i8")
-        sizes = np.array([len(x) // 8 for x in table.column("grams").to_pylist()], np.int64)
+        stretch, many, least, more = (_planes(table.column(c).to_pylist(), w) for c, w in (("stretch", 4), ("many", 1), ("ids", 8), ("more", 8)))
+        many, least = many.astype(np.int64), least.view("<i8")
+        most = least + more.view("<i8")
+        sizes = np.array([len(x) for x in table.column("many").to_pylist()], np.int64)
         source = np.repeat(np.arange(len(sizes)), sizes)
-        order = np.lexsort((least, gram))
-        new = np.append(True, gram[order][1:] != gram[order][:-1])
-        low = least[order][new][np.cumsum(new) - 1]
-        told = low < most[order]
-        rows, low = order[told], low[told]
-        back = np.lexsort((gram[rows], source[rows]))
-        full, blobs = _dealt(source[rows][back], len(sizes), [(gram[rows][back], 8), (low[back], 8)])
+        b = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+        wide = many + SPAN - 1
+        of, offset = np.repeat(np.arange(len(many)), many), _runs(np.zeros(len(many), np.int64), many)
+        bucket = buckets(b)[_runs(np.cumsum(wide) - wide, many)]
+        order = np.argsort(bucket, kind="stable")
+        heads = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+        low = np.empty(len(order), np.int64)
+        low[order] = np.repeat(np.minimum.reduceat(least[of][order], heads), np.diff(np.append(heads, len(order))))
+        told = np.flatnonzero(low < most[of])
+        of, offset, low = of[told], offset[told], low[told]
+        new = np.ones(len(told), bool)
+        new[1:] = (of[1:] != of[:-1]) | (offset[1:] != offset[:-1] + 1) | (low[1:] != low[:-1])
+        run = np.flatnonzero(new)
+        length = np.diff(np.append(run, len(told)))
+        full, blobs = _dealt(source[of[run]], len(sizes), [(stretch[of[run]], 4), (offset[run], 1), (length, 1), (low[run], 8)])
         groups = table.column("grp").to_pylist()
-        return pa.table([pa.array([groups[k] for k in full], pa.int32()), *blobs], names=["grp", "grams", "lows"])
+        return pa.table([pa.array([groups[k] for k in full], pa.int32()), *blobs], names=["grp", "stretch", "begin", "length", "lows"])
 
-    return shown.groupBy("range").applyInArrow(meet, "grp int, grams binary, lows binary")
+    return shown.repartition(ranges, "range").groupBy("range").applyInArrow(meet, "grp int, stretch binary, begin binary, length binary, lows binary")
 
 
 def _removed(docs: DataFrame, learnt: DataFrame, resolved: DataFrame) -> DataFrame:
     """Results of the documents of all groups."""
-    answers = learnt.select("grp", "anchors", "pointers", "low", "mixed", F.lit(None).cast("binary").alias("grams"), F.lit(None).cast("binary").alias("lows"))
-
-    none = [F.lit(None).cast("binary").alias(c) for c in ("anchors", "pointers", "low", "mixed")]
-    answers = answers.union(resolved.select("grp", *none, "grams", "lows"))
+    nothing = lambda *names: [F.lit(None).cast("binary").alias(c) for c in names]
+    answers = learnt.select("grp", "anchors", "pointers", "low", "mixed", *nothing("stretch", "begin", "length", "lows"))
+    answers = answers.union(resolved.select("grp", *nothing("anchors", "pointers", "low", "mixed"), "stretch", "begin", "length", "lows"))
 
     def cover(left: pa.Table, right: pa.Table) -> pa.Table:
         blocks, ids = _group_blocks(left)
-        rows, kind, own = _kinds(blocks, ids)
-        anchors, pointer, low, mixed = _answers(right)
-        at = _lookup(blocks, rows, anchors, pointer)
-        known = np.flatnonzero(at >= 0)
-        smallest, split = own.copy(), np.zeros(len(rows), bool)  # of a kind, over all groups
-        smallest[known] = np.minimum(own[known], low[at[known]])
-        split[known] = mixed[at[known]]
+        edges, kind, _, smallest = _edges(blocks, ids, _answers(right))
         b = blocks.bytes
         gone = np.zeros(len(b) + 1, np.int64)
         doc_ids = ids[blocks.doc] if len(blocks.doc) else np.zeros(0, np.int64)
         whole = smallest[kind] < doc_ids
         np.add.at(gone, blocks.first[whole], 1)
         np.add.at(gone, blocks.last[whole] + SPAN, -1)
-        rest = np.flatnonzero(~whole & split[kind])
-        grams, lows = (_planes([x for x in right.column(c).to_pylist() if x is not None], 8) for c in ("grams", "lows"))
-        lows = lows.view("<i8")
-        if len(rest) and len(grams):
-            order = np.argsort(grams, kind="stable")
-            grams, lows = grams[order], lows[order]
+        rest = np.flatnonzero(~whole & (edges.base[kind] >= 0))
+        stretch, begin, length, lows = (_planes([x for x in right.column(c).to_pylist() if x is not None], w).view("<i8") for c, w in (("stretch", 4), ("begin", 1), ("length", 1), ("lows", 8)))
+        if len(rest) and len(stretch):
+            low = np.full(edges.many.sum(), NONE, np.int64)  # of each slot
+            low[_runs(edges.start[stretch] + begin, length)] = np.repeat(lows, length)
             many = blocks.last[rest] - blocks.first[rest] + 1
-            place = np.repeat(blocks.first[rest] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            mine = blocks.grams[place]
-            hit = np.minimum(np.searchsorted(grams, mine), len(grams) - 1)
-            ok = (grams[hit] == mine) & (lows[hit] < np.repeat(doc_ids[rest], many))
+            place = _runs(blocks.first[rest], many)
+            ok = low[edges.slot[_runs(edges.base[kind[rest]], many)]] < np.repeat(doc_ids[rest], many)
             np.add.at(gone, place[ok], 1)
             np.add.at(gone, place[ok] + SPAN, -1)
         covered = np.cumsum(gone[:-1]) > 0
@@ -357,12 +436,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256 and the kept text."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups, ranges = max(8, -(-total // GROUP_BYTES)), max(8, -(-total // BUCKET_BYTES))
+    groups, ranges = int(max(8, -(-total // GROUP_BYTES))), int(max(8, -(-total // BUCKET_BYTES)))
     takes_part = F.coalesce(F.col("doc_id").isNotNull() & (F.octet_length("text") >= SPAN), F.lit(False))
     keyed = rows.filter(takes_part).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     dealt = bucketed(keyed, "grp", max(8, groups // 4))
-    learnt = written(_learnt(_sent(dealt, int(ranges))), "suffix-kinds")
-    found = _removed(dealt, learnt, _resolved(_shown(dealt, learnt, int(ranges))))
+    learnt = written(_learnt(_sent(dealt, ranges), ranges), "suffix-kinds")
+    found = _removed(dealt, learnt, _resolved(_shown(dealt, learnt, 4 * ranges), 4 * ranges))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, texts in slices(batches, "text"):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from offerloom.llm import suffixes
@@ -29,8 +30,18 @@ def got(df):
     return {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect()}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_equals_brute_force(spark, seed, monkeypatch):
+def test_buckets_are_equal_bytes():
+    b = np.frombuffer((b"abab" * 40 + b"x" * 60 + b"abab" * 20), np.uint8)
+    held, first = suffixes.buckets(b), {}
+    assert len(held) == len(b) - 49
+    for k, bucket in enumerate(held):
+        first.setdefault(bytes(b[k : k + 50]), set()).add(bucket)
+    assert all(len(x) == 1 for x in first.values()) and len(set(held)) == len(first)
+
+
+@pytest.mark.parametrize("seed, hot", [(1, 4096), (2, 4096), (2, 2)])
+def test_equals_brute_force(spark, seed, hot, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT_KINDS", hot)
     monkeypatch.setattr(suffixes, "GROUP_BYTES", 5_000)
     monkeypatch.setattr(suffixes, "BUCKET_BYTES", 20_000)
     rng = random.Random(seed)
