@@ -98,3 +98,31 @@ def bounded(value: Column, fallback: float, least: float, most: float) -> Column
 def enabled(value: Column, fallback: bool) -> Column:
     """A switch: `true` in any case is on, nothing is the fallback, all else is off."""
     return F.when(value.isNull(), F.lit(fallback)).otherwise(F.lower(value) == "true")
+
+
+def dynamic_signals(html: Column) -> Column:
+    """Struct (frameworks, api_hints, empty_shell, product_words, likely_dynamic): whether a page is filled in by its scripts."""
+    html = F.coalesce(html, F.lit(""))
+    # Marks of frameworks, addresses of interfaces, words of product data.
+    marks = [("nextjs", r"(?i)__next_data__|/_next/"), ("nuxt", r"(?i)__nuxt__|__nuxt_data__|/_nuxt/"), ("spa-root", r"""(?i)id=["']app["']|id=["']root["']""")]
+    hints = [r"""(?i)["'`](/api/[a-z0-9_./?=&%-]{3,180})["'`]""", r"""(?i)["'`](/graphql(?:\?[a-z0-9_=&%-]+)?)["'`]""", r"""(?i)["'`]((?:https?://[^"'`\s]+)?/api/v\d+/[a-z0-9_./?=&%-]{2,180})["'`]"""]
+    words = html.rlike("(?i)product|denomination|sellingPrice|selling_price|finalPrice|final_price|price")
+    shell = html.rlike(r"""(?i)<(?:div|main)[^>]+id=["'](?:app|root|__next)["'][^>]*>\s*</(?:div|main)>""")
+    frameworks = F.array_compact(F.array(*(F.when(html.rlike(p), F.lit(n)) for n, p in marks)))
+    found = F.slice(F.array_distinct(F.concat(*(F.regexp_extract_all(html, F.lit(p), F.lit(1)) for p in hints))), 1, 8)
+    likely = (F.size(frameworks) > 0) & (shell | (F.size(found) > 0) | words)
+    return F.struct(frameworks.alias("frameworks"), found.alias("api_hints"), shell.alias("empty_shell"), words.alias("product_words"), likely.alias("likely_dynamic"))
+
+
+def parser_reason(found: Column, kept: Column, dynamic: Column, products: Column, prices: Column, documents: Column) -> Column:
+    """Why a page gave no or not all offers: offers found and kept, whether scripts fill it, lines of products and prices, JSON documents."""
+    return (
+        F.when((found > 0) & (kept == 0), "PRODUCTS_REJECTED_BY_GAME_VALIDATION")
+        .when(found > 0, "PARTIAL_MATCH_ONLY")
+        .when(dynamic, "JS_RENDERED_CONTENT")
+        .when((products > 0) & (prices == 0), "PRODUCT_FOUND_NO_PRICE")
+        .when((products == 0) & (prices > 0), "PRICE_FOUND_NO_PRODUCT")
+        .when(documents > 0, "JSON_DATA_FOUND_NO_MATCH")
+        .when(products == 0, "HTML_NO_PRODUCT")
+        .otherwise("UNSUPPORTED_STRUCTURE")
+    )
