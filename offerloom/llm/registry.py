@@ -17,4 +17,4 @@ QUERIES = {
     "op10_language_id": langid.op10_language_id,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filters": urls.OP1_SQL, "op2_jaccard_join": jaccard.OP2_SQL}
+ORACLES: dict[str, str] = {"op1_url_filters": urls.OP1_SQL, "op2_jaccard_join": jaccard.OP2_SQL, "op7_suffix_dedup": suffixes.OP7_SQL}

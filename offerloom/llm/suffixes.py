@@ -454,3 +454,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Bytes of every document that earlier documents hold in strings of 50 bytes, and a digest of the rest."""
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("kept")
+
+
+#: The same rows by all strings of 50 bytes, on hexadecimal text, taken from pieces of 249 bytes.
+OP7_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, CAST(k * 200 AS BIGINT) AS base, substr(h, k * 400 + 1, 498) AS piece FROM (SELECT doc_id, h, unnest(range(0, (length(h) // 2 + 199) // 200)) AS k FROM d)),
+w AS (SELECT doc_id, base + o AS p, substr(piece, o * 2 + 1, 100) AS s FROM (SELECT *, unnest(range(0, least(200, length(piece) // 2 - 49))) AS o FROM c WHERE length(piece) >= 100)),
+f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s),
+g AS (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM w JOIN f USING (s) WHERE low < doc_id),
+r AS (SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+runs AS (SELECT doc_id, run, min(p) AS b, max(p) + 50 AS e FROM r GROUP BY ALL),
+gaps AS (SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS was FROM runs),
+t AS (SELECT doc_id, CAST(sum(e - b) AS BIGINT) AS gone, count(*) AS spans, max(e) AS last, string_agg(substr(h, was * 2 + 1, (b - was) * 2), '' ORDER BY b) AS head FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(h, coalesce(last, 0) * 2 + 1))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)"""

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -65,3 +66,18 @@ def test_edge_rows(spark):
     df = spark.createDataFrame([(1, t, 9), (1, t, 9), (None, t, 9), (2, t, 9)], "doc_id long, text string, grp int")
     assert sorted((r.doc_id or 0, r.n_removed) for r in suffixes.dedup(df).collect()) == [(0, 0), (1, 0), (1, 0), (2, 200)]
     assert suffixes.dedup(df.limit(0)).count() == 0
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    want = {r[0]: r[1:] for r in con.execute(suffixes.OP7_SQL).fetchall()}
+    assert got(suffixes.op7_suffix_dedup(spark, sf_dir)) == want
+
+
+def test_very_long_text_and_clashing_names(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("abcdefgh ") for _ in range(150_000))
+    rows = [(1, long[70_000:70_400], 1, b"x"), (2, long, 2, b"y"), (3, long[:99_000], 3, b"z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, range int, bytes binary")
+    assert got(suffixes.dedup(df)) == brute({r[0]: r[1] for r in rows})
