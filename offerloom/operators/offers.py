@@ -100,9 +100,9 @@ def as_live(offers: DataFrame, strategy: str, replace: bool = False) -> DataFram
     return offers.withColumns({"extraction_source": F.coalesce(blank("extraction_source"), blank("source"), F.lit(strategy)), "source": F.lit("live"), "access_strategy": own})
 
 
-def visible_groups(offers: DataFrame, stores: list[str] | None = None, types: list[str] | None = None) -> DataFrame:
-    """Groups as a user sees them: stores are chosen within groups, so that metrics follow and empty groups vanish, then package types."""
-    groups = group_offers(offers.filter(F.col("store_id").isin(stores)) if stores else offers)
+def visible_groups(offers: DataFrame, stores: DataFrame | None = None, types: list[str] | None = None) -> DataFrame:
+    """Groups as a user sees them: stores (a table of store_id) are chosen within groups, so that metrics follow and empty groups vanish, then package types."""
+    groups = group_offers(offers if stores is None else offers.join(stores, "store_id", "left_semi"))
     return groups.filter(F.col("package_type").isin(types)) if types else groups
 
 

@@ -178,7 +178,7 @@ def strict_dedupe(spark, sf):
 
 def store_filter(spark, sf):
     """Metrics of the packages that a user sees who chose some stores and one type of package."""
-    stores = [r[0] for r in table(spark, sf, "supplier").filter("s_nationkey = 3").select("s_suppkey").limit(1000).collect()]  # what a user ticked
+    stores = table(spark, sf, "supplier").filter("s_nationkey = 3").select(F.col("s_suppkey").alias("store_id"))  # what a user ticked
     seen = offers.visible_groups(_items(spark, sf), stores, ["currency"])
     return seen.select("game_id", "canonical_key", "cheapest_price", "store_count", "offer_count")
 
