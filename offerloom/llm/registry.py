@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from offerloom.llm import decontam, jaccard, langid, neardup, packing, pii, quality, suffixes, toxicity, urls, whitening
+from offerloom.llm import decontam, jaccard, langid, neardup, packing, phrases, pii, quality, suffixes, toxicity, urls, whitening
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -15,7 +15,8 @@ QUERIES = {
     "op8_decontamination": decontam.op8_decontamination,
     "op9_pii": pii.op9_pii,
     "op10_language_id": langid.op10_language_id,
+    "op11_collocations": phrases.op11_collocations,
     "op13_whitening": whitening.op13_whitening,
 }
 
-ORACLES: dict[str, str] = {"op1_url_filters": urls.OP1_SQL, "op2_jaccard_join": jaccard.OP2_SQL, "op7_suffix_dedup": suffixes.OP7_SQL}
+ORACLES: dict[str, str] = {"op1_url_filters": urls.OP1_SQL, "op2_jaccard_join": jaccard.OP2_SQL, "op7_suffix_dedup": suffixes.OP7_SQL, "op11_collocations": phrases.OP11_SQL}
