@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from offerloom.llm import decontam, jaccard, langid, neardup, packing, phrases, pii, quality, suffixes, toxicity, urls, whitening
+from offerloom.llm import decontam, interpolation, jaccard, langid, neardup, packing, phrases, pii, quality, suffixes, toxicity, urls, whitening
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_pii": pii.op9_pii,
     "op10_language_id": langid.op10_language_id,
     "op11_collocations": phrases.op11_collocations,
+    "op12_lm_scoring": interpolation.op12_lm_scoring,
     "op13_whitening": whitening.op13_whitening,
 }
 
