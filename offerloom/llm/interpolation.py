@@ -42,39 +42,18 @@ from pyspark.sql import functions as F
 
 from offerloom.llm.arrow import fold_key
 from offerloom.llm.durable import written
+from offerloom.llm.packed import LOW, low_bits, low_keys, mixed, pack, ranged, unpack
 
 HELD = 2_000_000  # tokens of a chunk, about
 RANGE = 2_000_000  # requested keys of a range, about
 DELETED = 20  # one learning text in so many is deleted from the counts
 ROUNDS = 15
-LOW = 40
 PAIRS, TRIPLES = 1, 2  # kinds of requests; 0 are words
 CONTEXT3, CONTEXT2 = 16, 24  # buckets of the longer and of the shorter context
 BUCKETS = CONTEXT3 * CONTEXT2
 BEFORE, END = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)  # any two hashes
 
 
-def _pack(values: np.ndarray, width: int) -> bytes:
-    """Whole numbers as bytes of equal weight side by side, compressed."""
-    planes = np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
-    return zstandard.compress(planes.tobytes(), 1)
-
-
-def _unpack(data: bytes, width: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, :width] = planes.T
-    return out.reshape(-1).view("<u8").astype(np.int64)
-
-
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = a * np.uint64(0x9E3779B97F4A7C15) + b
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(32))
-
-
 def words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -90,7 +69,7 @@ def chunks(docs: DataFrame, kind: str) -> DataFrame:
         place[order] = np.arange(len(names))
         lengths, learnt = np.array(part["lengths"], np.int64), np.array(part["learnt"], bool)
         values = [number, deleted, len(seq) + len(lengths), int(lengths[learnt].sum()) + int(learnt.sum()), int(learnt.sum()), len(names)]
-        packed = [learnt.tobytes(), _pack(lengths, 4), _pack(place[seq], 4), zstandard.compress(b"\n".join(names[k] for k in order), 1)]
+        packed = [learnt.tobytes(), pack(lengths, 4), pack(place[seq], 4), zstandard.compress(b"\n".join(names[k] for k in order), 1)]
         columns = [pa.array([v]) for v in values] + [pa.array([part["ids"]], pa.list_(part["kind"]))] + [pa.array([v], pa.binary()) for v in packed]
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "deleted", "tokens", "learnt_tokens", "learnt_texts", "distinct", "ids", "learnt", "lengths", "seq", "words"])
 
@@ -126,7 +105,7 @@ class Chunk:
         joined = zstandard.decompress(row["words"])
         self.words = joined.split(b"\n") if joined else []
         self.ranges = ranges
-        lengths, seq = _unpack(row["lengths"], 4), _unpack(row["seq"], 4)
+        lengths, seq = unpack(row["lengths"], 4), unpack(row["seq"], 4)
         hashes = np.array([xxhash.xxh64_intdigest(w) for w in self.words], np.uint64)
         self.word_range = ((hashes >> np.uint64(LOW)) * np.uint64(ranges[0]) >> np.uint64(64 - LOW)).astype(np.int64)
         n = len(self.words)
@@ -141,15 +120,11 @@ class Chunk:
         before = np.empty_like(h)
         before[1:] = h[:-1]
         before[self.starts] = BEFORE
-        pair = _mixed(before, h)
+        pair = mixed(before, h)
         context = np.empty_like(pair)
         context[1:] = pair[:-1]
         context[self.starts] = BEFORE
-        self.keys = {PAIRS: self._ranged(pair), TRIPLES: self._ranged(_mixed(context, h))}
-
-    def _ranged(self, code: np.ndarray) -> np.ndarray:
-        place = (code >> np.uint64(LOW)) * np.uint64(self.ranges[1]) >> np.uint64(64 - LOW)
-        return ((place << np.uint64(LOW)) | (code & np.uint64((1 << LOW) - 1))).astype(np.int64)
+        self.keys = {PAIRS: ranged(pair, ranges[1]), TRIPLES: ranged(mixed(context, h), ranges[1])}
 
     def distinct(self, kind: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted distinct keys (words: their numbers, by range), and where each token finds its own."""
@@ -173,11 +148,11 @@ def requests(chunked: DataFrame, ranges: tuple[int, int]) -> DataFrame:
                     place = keys >> LOW if kind else own.word_range[keys]
                     used, begins = np.unique(place, return_index=True)
                     cuts = [*begins.tolist(), len(keys)]
-                    block = (lambda a, b: _pack(np.diff(keys[a:b] & ((1 << LOW) - 1), prepend=0), 5)) if kind else (lambda a, b: zstandard.compress(b"\n".join(own.words[k] for k in keys[a:b]), 1))  # noqa: B023
+                    block = (lambda a, b: low_bits(keys[a:b])) if kind else (lambda a, b: zstandard.compress(b"\n".join(own.words[k] for k in keys[a:b]), 1))  # noqa: B023
                     for begin in range(0, len(used), 64):
                         some = range(begin, min(begin + 64, len(used)))
                         m = len(some)
-                        yield pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array(used[begin : begin + m]), pa.array([row["chunk"]] * m), pa.array([row["deleted"]] * m), pa.array([block(cuts[k], cuts[k + 1]) for k in some], pa.binary()), pa.array([_pack(n[cuts[k] : cuts[k + 1]], 4) for k in some], pa.binary())], names=["kind", "range", "chunk", "deleted", "keys", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array([kind] * m, pa.int32()), pa.array(used[begin : begin + m]), pa.array([row["chunk"]] * m), pa.array([row["deleted"]] * m), pa.array([block(cuts[k], cuts[k + 1]) for k in some], pa.binary()), pa.array([pack(n[cuts[k] : cuts[k + 1]], 4) for k in some], pa.binary())], names=["kind", "range", "chunk", "deleted", "keys", "n"])
 
     columns = ["chunk", "deleted", "learnt", "lengths", "seq", "words"]
     return chunked.select(columns).mapInArrow(ask, "kind int, range long, chunk long, deleted boolean, keys binary, n binary")
@@ -190,7 +165,7 @@ def answers(asked: DataFrame) -> DataFrame:
         kind = key[0].as_py()
         rows = table.select(["chunk", "deleted", "keys", "n"]).to_pylist()
         if kind:
-            blocks = [np.cumsum(_unpack(r["keys"], 5)) for r in rows]
+            blocks = [low_keys(r["keys"]) for r in rows]
             sizes = [len(b) for b in blocks]
             _, where = np.unique(np.concatenate(blocks), return_inverse=True)
         else:
@@ -198,7 +173,7 @@ def answers(asked: DataFrame) -> DataFrame:
             blocks = [[number[w] for w in zstandard.decompress(r["keys"]).split(b"\n")] for r in rows]
             sizes = [len(b) for b in blocks]
             where = np.array([k for b in blocks for k in b], np.int64)
-        n = np.concatenate([_unpack(r["n"], 4) for r in rows]).astype(np.float64)
+        n = np.concatenate([unpack(r["n"], 4) for r in rows]).astype(np.float64)
         gone = np.repeat([r["deleted"] for r in rows], sizes)
         kept = np.bincount(where, weights=np.where(gone, 0, n)).astype(np.int64)
         away = np.bincount(where, weights=np.where(gone, n, 0)).astype(np.int64)
@@ -210,8 +185,8 @@ def answers(asked: DataFrame) -> DataFrame:
             "deleted": pa.array([r["deleted"] for r in rows] + [False]),
             "kind": pa.array([kind] * (len(rows) + 1), pa.int32()),
             "range": pa.array([key[1].as_py()] * (len(rows) + 1)),
-            "kept": pa.array([_pack(kept[m], 5) for m in mine] + [b""], pa.binary()),
-            "away": pa.array([_pack(away[m], 5) for m in mine] + [b""], pa.binary()),
+            "kept": pa.array([pack(kept[m], 5) for m in mine] + [b""], pa.binary()),
+            "away": pa.array([pack(away[m], 5) for m in mine] + [b""], pa.binary()),
             "distinct": pa.array([0] * len(rows) + [learnt]),
         })
 
@@ -224,7 +199,7 @@ class Counts:
     def __init__(self, own: Chunk, replies: list[dict], texts: int, tokens: int, distinct: int, both: bool):
         found = {}
         for kind in (0, PAIRS, TRIPLES):
-            parts = [_unpack(r["kept"], 5) + (_unpack(r["away"], 5) if both else 0) for r in sorted((r for r in replies if r["kind"] == kind), key=lambda r: r["range"])]
+            parts = [unpack(r["kept"], 5) + (unpack(r["away"], 5) if both else 0) for r in sorted((r for r in replies if r["kind"] == kind), key=lambda r: r["range"])]
             n = np.concatenate([np.zeros(0, np.int64), *parts])
             found[kind] = (n if kind else np.append(n, texts))[own.distinct(kind)[1]]
         word, pair, triple = found[0], found[PAIRS], found[TRIPLES]
