@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from offerloom.functions.text import END, WORD
+from offerloom.functions.text import END, WORD, bound
 
 # How a price is marked, and the forms of its number (thousands by dots, thousands by commas, cents).
 MARK = rf"(?:{WORD}idr{END}|{WORD}rp\s*\.?)"
@@ -28,8 +28,7 @@ def _whole(text: Column) -> Column:
 
 def token(text: Column) -> Column:
     """Whole rupiah of a number: thousands by dots or commas with cents cut off; else two decimals rounded; else all digits."""
-    text = F.regexp_replace(text, r"\s+", "")
-    return F.when(text.rlike(BY_DOTS) | text.rlike(BY_COMMAS), _whole(text)).when(text.rlike(CENTS), _rounded(text)).otherwise(_digits(text))
+    return bound(F.regexp_replace(text, r"\s+", ""), lambda t: F.when(t.rlike(BY_DOTS) | t.rlike(BY_COMMAS), _whole(t)).when(t.rlike(CENTS), _rounded(t)).otherwise(_digits(t)))
 
 
 def cleaned(text: Column) -> Column:
@@ -38,12 +37,16 @@ def cleaned(text: Column) -> Column:
     return F.regexp_replace(text, r"^[\s\ufeff]+|[\s\ufeff]+$", "")
 
 
+def _number(text: Column) -> Column:
+    """The number of a cleaned price: behind its mark, before its currency, or the whole text; null if it has none."""
+    before = F.nullif(F.regexp_extract(text, rf"{MARK}\s*[:=\-]?\s*{NUMBER}", 1), F.lit(""))
+    after = F.nullif(F.regexp_extract(text, rf"{NUMBER}\s*{WORD}(?:idr|rupiah){END}", 1), F.lit(""))
+    return F.coalesce(before, after, F.when(text.rlike(r"^[0-9][0-9.,]*$"), text))
+
+
 def rupiah(text: Column) -> Column:
     """Price marked before or after by its currency, or a text that is a number as a whole; else null, never part of a name."""
-    text = cleaned(text)
-    before = F.regexp_extract(text, rf"{MARK}\s*[:=\-]?\s*{NUMBER}", 1)
-    after = F.regexp_extract(text, rf"{NUMBER}\s*{WORD}(?:idr|rupiah){END}", 1)
-    return F.when(before != "", token(before)).when(after != "", token(after)).when(text.rlike(r"^[0-9][0-9.,]*$"), token(text))
+    return token(bound(cleaned(text), _number))
 
 
 def structured(text: Column) -> Column:

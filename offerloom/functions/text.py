@@ -41,6 +41,11 @@ NAMED = r"(?:weekly diamond pass(?:\s*[2-9]\s*x)?|weekly pass|weekly card plus|w
 WORD, END = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value worked out once a row, however often use names it; null for a null value."""
+    return F.when(value.isNotNull(), F.get(F.transform(F.array(value), use), F.lit(0)))
+
+
 def normalized(text: Column, accents: str = "split", blank: str = " ") -> Column:
     """Lower-case letters and digits with single blanks between runs.
 
@@ -75,12 +80,20 @@ def _put(pattern: str, base: int):
     return put
 
 
-def decoded(text: Column) -> Column:
-    """Decimal, hexadecimal, then named entities replaced; unknown ones stay, so `&#38;lt;` is decoded twice."""
+def _numeric(text: Column) -> Column:
     for pattern, base in ((r"&#([0-9]{1,9});", 10), (r"&#[xX]([0-9a-fA-F]{1,7});", 16)):
         whole = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+        text = F.aggregate(whole, text, _put(pattern, base))
+    return text
 
-        text = F.when(F.contains(text, F.lit("&#")), F.aggregate(whole, text, _put(pattern, base))).otherwise(text)
+
+def decoded(text: Column) -> Column:
+    """Decimal, hexadecimal, then named entities replaced; unknown ones stay, so `&#38;lt;` is decoded twice.
+
+    The text is bound once, as it is what long chains of patterns leave, and
+    only rows that hold numeric entities go through their passes.
+    """
+    text = bound(text, lambda t: F.when(F.contains(t, F.lit("&#")), bound(t, _numeric)).otherwise(t))
     for name, value in ENTITIES:
         text = F.regexp_replace(text, f"(?i)&{name};", value)
     return text

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import money, names, status, text, urls
 from offerloom.operators import attempts, lines, offers, resolve
-from offerloom.plans import products, rules
+from offerloom.plans import products, rules, shop
 from offerloom.sources.tables import feed_offers, table
 from offerloom.streaming.merge import merged
 
@@ -465,5 +465,6 @@ SELECT page_id, scheme, host, path, a <> '' AND b <> '' AND (a = b OR ends_with(
 }
 
 rules.bind(_OFFERS, _GROUPS, _SCORES)
-QUERIES |= rules.QUERIES | products.QUERIES
-ORACLES |= rules.ORACLES | products.ORACLES
+shop.bind(ORACLES["page_links"])
+QUERIES |= rules.QUERIES | products.QUERIES | shop.QUERIES
+ORACLES |= rules.ORACLES | products.ORACLES | shop.ORACLES

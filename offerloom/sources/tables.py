@@ -12,6 +12,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df worked out once: in the folder that the cluster shares for checkpoints, or cached where none is set (lost parts are then worked out anew)."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given:
+            return df.persist()
+        spark.sparkContext.setCheckpointDir(given)
+    return df.checkpoint()
+
+
 def feed_offers(feeds: DataFrame) -> DataFrame:
     """Offers in JSON feeds (store_id, game_id, payload): rows of the root array, of `products` or of `data`.
 
