@@ -96,7 +96,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
             if at >= ip:
                 if m := _IP.match(text, at):
                     ip = m.end()
-                    if all(len(part) < 19 and int(part) <= 255 for part in m.group().split(".")):
+                    if all(len(part) <= 3 and int(part or 0) <= 255 for part in (p.lstrip("0") for p in m.group().split("."))):
                         found.append(("ip", at, ip))
                 else:
                     ip = _DIGITS.match(text, at).end()

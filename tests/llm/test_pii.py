@@ -66,3 +66,8 @@ def test_edge_rows(spark):
 def test_a_scheme_of_any_length_is_whole():
     text = "see averylongschemename+x://me:pw@host/path now"
     assert ("url", 4, 43) in pii.spans(text)
+
+
+def test_address_parts_with_leading_zeros():
+    for text in ("0000000000000000000001.1.1.1", "1.2.3." + "0" * 6000 + "255", "1.2.3.0256", "00.0.0.0"):
+        assert [s for s in pii.spans(text) if s[0] == "ip"] == ([] if "256" in text else [("ip", 0, len(text))])
