@@ -43,6 +43,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +188,8 @@ def _sent(docs: DataFrame, ranges: int, words: int) -> DataFrame:
         for kind, mine in ((2, [i for i, x in enumerate(ids) if x is not None]), (3, [i for i, x in enumerate(ids) if x is None])):
             if mine:
                 own = np.array([ids[i] or 0 for i in mine], np.int64)
-                out.append((2 * ranges + int(key[mine[0], 0]) % ranges, kind, own.tobytes(), _planes(n[mine], 4), key[mine].tobytes(), None))
+                # The place only spreads the blocks; nothing is looked for there.
+                out.append((2 * ranges + crc32(own.tobytes()) % ranges, kind, own.tobytes(), _planes(n[mine], 4), key[mine].tobytes(), None))
         # Classes: rows with an id and a word, equal digests as one.
         part = np.array([i for i, x in enumerate(ids) if x is not None and n[i]], np.int64)
         if not len(part):
