@@ -38,8 +38,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
-    """Write df as a table of the warehouse with one file for each bucket of key; grouping by key needs no shuffle then."""
+    """Write df to the shared folder with one file for each bucket of key; grouping by key needs no shuffle then.
+
+    There are no more buckets than the session allows: beyond that buckets get
+    larger, and a task still reads its bucket one key after the other. The table
+    leaves the catalog at once, as its files are read by their own list.
+    """
     spark = df.sparkSession
+    buckets = max(1, min(buckets, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))))
     name = f"bucketed_{uuid.uuid4().hex}"
-    df.repartition(buckets, key).write.option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
-    return spark.table(name)
+    df.repartition(buckets, key).write.option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return found

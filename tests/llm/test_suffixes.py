@@ -81,3 +81,17 @@ def test_very_long_text_and_clashing_names(spark):
     rows = [(1, long[70_000:70_400], 1, b"x"), (2, long, 2, b"y"), (3, long[:99_000], 3, b"z")]
     df = spark.createDataFrame(rows, "doc_id long, text string, range int, bytes binary")
     assert got(suffixes.dedup(df)) == brute({r[0]: r[1] for r in rows})
+
+
+def test_more_groups_than_buckets_allowed(spark, monkeypatch):
+    """Many groups and ranges on a session that allows four buckets; nothing is left in the catalog."""
+    monkeypatch.setattr(suffixes, "GROUP_BYTES", 40)
+    monkeypatch.setattr(suffixes, "BUCKET_BYTES", 40)
+    before = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "4")
+    try:
+        docs = {k: f"{k % 7} passage that some documents share, long enough to be found in all {k % 5} " * 2 for k in range(40)}
+        assert got(suffixes.dedup(spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3))) == brute(docs)
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bucketed_")]
