@@ -1,10 +1,11 @@
 """Collocations by contiguous pattern growth (PrefixSpan on word sequences).
 
-Everything is per language. Words that are frequent are counted first, then the
-pairs of frequent words; each frequent pair is a prefix. Its projection has, for
-every place where it occurs, the words that follow there, cut where no frequent
-pattern can go on (a pair that is not frequent); equal followers met in one task
-are one row with their number. One task takes a prefix and grows it to the right
+Everything is per language. Words that are frequent are counted first, then
+hashes of the pairs of frequent words, which leave out most pairs that are not
+frequent (a hash counts at least what its pairs do); the pairs left are prefixes.
+A prefix's projection has, for every place where it occurs, the words that follow
+there, cut where no frequent pattern can go on; equal followers met in one task
+are one row with their number, and their sum is the pair's exact count. One task takes a prefix and grows it to the right
 depth-first: pointers into the projection are dealt out by the next word, and
 each word that reaches the support is followed at once. A prefix of more than
 BOUND rows is not gathered: one distributed count extends it by one word, its
@@ -36,12 +37,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from offerloom.llm.durable import written
+from offerloom.llm.packed import LOW, low_bits, low_keys, mixed, pack, ranged, unpack
 
 LEAST, LONGEST, TOP = 100, 5, 2000
 BOUND = 20_000  # rows of a projection that one task grows at most
-HELD = 2_000_000  # words that a task counts at a time
+HELD = 1_000_000  # words that a task counts at a time
 MOST_BITS = 1 << 27
-SIFT = 2_654_435  # joins the hashes of a pair's words
+RANGE = 2_000_000  # words of the corpus for each range of pair hashes
 
 # What ends a piece; a byte that no text has stands for it.
 ENDS, END = b".,;:!?\x0a\x0b\x0c\x0d", b"\xff"
@@ -112,12 +114,18 @@ def bitmap(hashes: DataFrame) -> np.ndarray:
     return np.unpackbits(out, bitorder="little").astype(bool)
 
 
-def _pairs(lang: str, ids: np.ndarray, names: list[bytes], frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places whose word and next word are frequent, and both words' numbers."""
-    known = frequent[_hashes(lang, names) & (len(frequent) - 1)]
+def _pairs(lang: str, ids: np.ndarray, names: list[bytes], frequent: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose word and next word are frequent, in order of the pair: the places, and each distinct pair's first of them and hash."""
+    h = _hashes(lang, names)
+    known = frequent[h & (len(frequent) - 1)]
     known[0] = False
     at = np.flatnonzero(known[ids[:-1]] & known[ids[1:]])
-    return at, ids[at], ids[at + 1]
+    codes = ids[at] * len(names) + ids[at + 1]
+    order = np.argsort(codes, kind="stable")
+    at, codes = at[order], codes[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    u = h.astype(np.uint64)
+    return at, first, ranged(mixed(u[ids[at[first]]], u[ids[at[first] + 1]]), ranges)
 
 
 def _joined(names: pa.Array, *parts: np.ndarray) -> pa.Array:
@@ -147,27 +155,38 @@ def patterns(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
     counted = written(docs.mapInArrow(count_words, "lang string, phrase string, a long").groupBy("lang", "phrase").agg(F.sum("a").alias("a")), "words")
     totals = counted.groupBy("lang").agg(F.sum("a").alias("n"))
     single = counted.filter(F.col("a") >= least)
-    first = context.broadcast(bitmap(single.select(_hash("phrase").alias("h"))))
+    first_words = context.broadcast(bitmap(single.select(_hash("phrase").alias("h"))))
+
+    ranges = -(-(totals.agg(F.sum("n")).first()[0] or 0) // RANGE) or 1
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Hashes of pairs with their numbers, in a block for each range."""
         for lang, ids, names in streams(batches):
-            _, a, b = _pairs(lang, ids, names, first.value)
-            codes, n = np.unique(a * len(names) + b, return_counts=True)
-            text = _strings(names)
-            yield _batch(lang, text.take(pa.array(codes // len(names))), text.take(pa.array(codes % len(names))), pa.array(n), names=["w", "v", "a"])
-
-    two = docs.mapInArrow(pairs, "lang string, w string, v string, a long").groupBy("lang", "w", "v").agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
-    two = written(two, "pairs")
-    second = context.broadcast(bitmap(two.select((_hash("w") * SIFT + _hash("v")).alias("h"))))
+            at, first, keys = _pairs(lang, ids, names, first_words.value, ranges)
+            if len(keys):
+                order = np.argsort(keys)
+                keys, n = keys[order], np.diff(first, append=len(at))[order]
+                used, begins = np.unique(keys >> LOW, return_index=True)
+                cuts = [*begins.tolist(), len(keys)]
+                blocks = [[f(x[a:b]) for a, b in zip(cuts, cuts[1:])] for f, x in ((low_bits, keys), (lambda v: pack(v, 4), n))]
+                yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(b, pa.binary()) for b in blocks)], names=["range", "keys", "n"])
+
+    def add_up(key, table):
+        """Hashes of a range that are met often enough."""
+        keys, where = np.unique(np.concatenate([low_keys(k) for k in table["keys"].to_pylist()]), return_inverse=True)
+        n = np.bincount(where, weights=np.concatenate([unpack(b, 4) for b in table["n"].to_pylist()]))
+        return pa.table({"h": pa.array(keys[n >= least] | key[0].as_py() << LOW)})
+
+    likely = written(docs.mapInArrow(pairs, "range long, keys binary, n binary").groupBy("range").applyInArrow(add_up, "h long"), "pairs")
+    second = context.broadcast(bitmap(likely))
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Followers of every pair, as far as frequent pairs go on."""
+        """Followers of every pair, as far as likely pairs go on; none where the next pair is not likely."""
         for lang, ids, names in streams(batches):
-            at, a, b = _pairs(lang, ids, names, first.value)
-            h = _hashes(lang, names)
+            at, first, keys = _pairs(lang, ids, names, first_words.value, ranges)
             good = np.zeros(len(ids) + longest, bool)
-            good[at[second.value[(h[a] * SIFT + h[b]) & (len(second.value) - 1)]]] = True
-            start = np.flatnonzero(good[:-1] & good[1:])
+            good[at[np.repeat(second.value[keys & (len(second.value) - 1)], np.diff(first, append=len(at)))]] = True
+            start = np.flatnonzero(good)
             padded = np.append(ids, np.zeros(longest, np.int64))
             # Equal runs of words become one row: codes of the run so far and its next word, renumbered step by step.
             code, open_ = padded[start] * len(names) + padded[start + 1], np.ones(len(start), bool)
@@ -180,11 +199,12 @@ def patterns(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
             _, firsts, n = np.unique(code, return_index=True, return_counts=True)
             text = pa.array(names, pa.binary())
             start, sizes = start[firsts], sizes[firsts]
-            for size in range(3, longest + 1):
+            for size in range(2, longest + 1):
                 m = sizes == size
                 if m.any():
                     columns = [padded[start[m] + k] for k in range(size)]
-                    yield _batch(lang, _joined(text, *columns[:2]).view(pa.string()), _joined(text, *columns[2:]).view(pa.string()), pa.array(n[m]), names=["prefix", "tail", "n"])
+                    tail = _joined(text, *columns[2:]).view(pa.string()) if size > 2 else pa.nulls(int(m.sum()), pa.string())
+                    yield _batch(lang, _joined(text, *columns[:2]).view(pa.string()), tail, pa.array(n[m]), names=["prefix", "tail", "n"])
 
     def grown(key, table):
         lang, prefix = (k.as_py() for k in key)
@@ -192,19 +212,18 @@ def patterns(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tup
         return pa.table([pa.array([lang] * len(found), pa.string()), *(pa.array([f[k] for f in found], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int64())))], names=["lang", "phrase", "size", "a"])
 
     shape, key = "lang string, phrase string, size int, a long", ["lang", "prefix"]
-    found = single.select("lang", "phrase", F.lit(1).alias("size"), "a").union(two.select("lang", F.concat_ws(" ", "w", "v"), F.lit(2), "a"))
-    rows = written(docs.mapInArrow(project, "lang string, prefix string, tail string, n long"), "projected")
-    for size in range(3, longest + 1):
-        large = written(rows.groupBy(key).agg(F.count("*").alias("m")).filter(F.col("m") > BOUND), "large_prefixes")
-        found = found.union(rows.join(large, key, "left_anti").groupBy(key).applyInArrow(grown, shape))
-        if large.isEmpty():
+    found = single.select("lang", "phrase", F.lit(1).alias("size"), "a")
+    onward = written(docs.mapInArrow(project, "lang string, prefix string, tail string, n long"), "projected")
+    for size in range(2, longest + 1):
+        # The prefixes at hand have `size` words; their counts and numbers of rows come from one pass.
+        prefixes = written(onward.groupBy(key).agg(F.sum("n").alias("a"), F.count("tail").alias("m")).filter(F.col("a") >= least), "prefixes")
+        found = found.union(prefixes.select("lang", "prefix", F.lit(size), "a"))
+        rows, large = onward.filter(F.col("tail").isNotNull()), prefixes.filter(F.col("m") > BOUND)
+        found = found.union(rows.join(prefixes.filter((F.col("m") > 0) & (F.col("m") <= BOUND)), key, "left_semi").groupBy(key).applyInArrow(grown, shape))
+        if size == longest or large.isEmpty():
             break
-        word = F.substring_index("tail", " ", 1)
         rest = F.when(F.contains("tail", F.lit(" ")), F.expr("substring(tail, char_length(substring_index(tail, ' ', 1)) + 2)"))
-        onward = rows.join(large, key, "left_semi").select("lang", F.concat_ws(" ", "prefix", word).alias("prefix"), rest.alias("tail"), "n")
-        longer = written(onward.groupBy(key).agg(F.sum("n").alias("a")).filter(F.col("a") >= least), "longer")
-        found = found.union(longer.select("lang", "prefix", F.lit(size), "a"))
-        rows = written(onward.filter(F.col("tail").isNotNull()).join(longer, key, "left_semi"), "projected")
+        onward = written(rows.join(large, key, "left_semi").select("lang", F.concat_ws(" ", "prefix", F.substring_index("tail", " ", 1)).alias("prefix"), rest.alias("tail"), "n"), "projected")
     return written(found, "patterns"), totals
 
 
