@@ -1,4 +1,4 @@
-"""Queries of structured offers, of games on pages and in offers, and of addresses, over literal rows.
+"""Literal cases of structured offers, of games on pages and in offers, and of addresses.
 
 Games are three made-up registry rows. Results are written down by hand from the
 rules and share nothing with the library.
@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import pages
 from offerloom.operators import games, structured
-from offerloom.sources.tables import table
 
 GAMES = [
     ("mobile-legends", 1, "Mobile Legends", "MLBB", ["ml", "Diamond", "weekly pass ml"], ["Diamond", "Diamonds"]),
@@ -126,12 +125,6 @@ def parser_reasons(spark, sf):
     return df.select("page_id", pages.parser_reason(*map(F.col, ("found", "kept", "dynamic", "products", "prices", "documents"))).alias("reason"))
 
 
-def page_dynamics(spark, sf):
-    """Signs of pages filled in by scripts, over all pages."""
-    own = table(spark, sf, "pages").select("page_id", pages.dynamic_signals(F.col("html")).alias("s"))
-    return own.select("page_id", F.array_join("s.frameworks", "|").alias("frameworks"), "s.product_words", "s.likely_dynamic")
-
-
 def _values(rows: list[tuple], columns: str) -> str:
     """SELECT of literal rows. columns: names and SQL types."""
     quoted = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
@@ -146,18 +139,13 @@ QUERIES = {
     "page_evidence": page_evidence,
     "guessed_urls": guessed_urls,
     "dynamic_pages": dynamic_pages,
-    "page_dynamics": page_dynamics,
     "parser_reasons": parser_reasons,
 }
-_SHELL = """<(?:div|main)[^>]+id=["''](?:app|root|__next)["''][^>]*>\\s*</(?:div|main)>"""
 ORACLES = {
     "structured_offers": _values(_FOUND, "page_id BIGINT, original_name VARCHAR, final_price BIGINT, url VARCHAR"),
     "offers_of_game": _values([(r[0],) for r in OFFERS if r[3]], "id BIGINT"),
     "page_evidence": _values([(r[0], r[1], *r[9:]) for r in EVIDENCE], "page_id BIGINT, game_id VARCHAR, ok BOOLEAN, score INT, reason VARCHAR"),
     "guessed_urls": _values([(*r, k) for rows in (_GUESSED, _GUESSED_B) for k, r in enumerate(rows)], "store_id VARCHAR, game_id VARCHAR, url VARCHAR, place INT"),
     "dynamic_pages": _values([(r[0], *r[2:]) for r in DYNAMIC], "page_id BIGINT, frameworks VARCHAR, hints VARCHAR, empty_shell BOOLEAN, product_words BOOLEAN, likely_dynamic BOOLEAN"),
-    "page_dynamics": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), s AS (SELECT page_id, h, concat_ws('|', CASE WHEN regexp_matches(h, '(?i)__next_data__|/_next/') THEN 'nextjs' END, CASE WHEN regexp_matches(h, '(?i)__nuxt__|__nuxt_data__|/_nuxt/') THEN 'nuxt' END, CASE WHEN regexp_matches(h, '(?i)id=["'']app["'']|id=["'']root["'']') THEN 'spa-root' END) AS frameworks,
-regexp_matches(h, '(?i)product|denomination|sellingPrice|selling_price|finalPrice|final_price|price') AS product_words FROM p)
-SELECT page_id, frameworks, product_words, frameworks <> '' AND (product_words OR regexp_matches(h, '(?i){_SHELL}') OR regexp_matches(h, '(?i)["''`](/api/[a-z0-9_./?=&%-]+|/graphql(\\?[a-z0-9_=&%-]+)?|(https?://[^"''`\\s]+)?/api/v\\d+/[a-z0-9_./?=&%-]+)["''`]')) AS likely_dynamic FROM s""",
     "parser_reasons": _values([(r[0], r[7]) for r in REASONS], "page_id BIGINT, reason VARCHAR"),
 }

@@ -1,8 +1,8 @@
 import pytest
+import product_cases as products
 from test_catalogue import SF, con, plain  # noqa: F401
 
 from offerloom.operators import games, structured
-from offerloom.plans import products
 
 
 @pytest.mark.parametrize("name", list(products.QUERIES))
