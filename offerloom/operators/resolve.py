@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LEAST = 45.0
+#: The least score of an entry, and what shared words are worth at most.
+LEAST, WORDS = 45.0, 70.0
+GRAM = 3
 
 
 def similarity(query: Column, candidate: Column) -> Column:
     """100 for equal texts, 82 for a prefix either way, 68 for containment either way, else up to 70 by shared words."""
     a, b = F.array_distinct(F.split(query, " ")), F.array_distinct(F.split(candidate, " "))
-    shared = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)) * 70.0
+    shared = F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.size(b)) * WORDS
     phrase = (
         F.when(query == candidate, 100.0)
         .when(F.startswith(candidate, query) | F.startswith(query, candidate), 82.0)
@@ -21,15 +23,62 @@ def similarity(query: Column, candidate: Column) -> Column:
     return F.when(query == "", 0.0).otherwise(F.greatest(phrase, shared))
 
 
+def _rarest_words(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(text, word): as many of each text's rarest words as one must be among, if the text shares the least part of its words with another."""
+    words = texts.select("text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"), F.size(F.array_distinct(F.split("text", " "))).alias("n"))
+    ranked = words.join(known, "word").withColumn("k", F.row_number().over(Window.partitionBy("text").orderBy("m", "word")))
+    return ranked.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * (LEAST / WORDS) - 1e-9) + 1).select("text", "word")
+
+
+def _grams(text: Column) -> Column:
+    """Distinct substrings of one to GRAM characters."""
+    size = F.char_length(text)
+    of = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*(of(n) for n in range(1, GRAM + 1))))
+
+
+def _inside(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(small, large): texts with those that hold them, found by the rarest substring of the smaller one."""
+    index = large.select(F.col("text").alias("large"), F.explode(_grams(F.col("text"))).alias("gram"))
+    known = index.groupBy("gram").agg(F.count("*").alias("m"))
+    own = small.select(F.col("text").alias("small"), F.explode(_grams(F.col("text"))).alias("gram")).filter(F.char_length("gram") == F.least(F.lit(GRAM), F.char_length("small")))
+    # A text with a substring that no larger one has is held by none.
+    rare = own.join(known, "gram", "left").groupBy("small").agg(F.min(F.struct(F.coalesce("m", F.lit(0)).alias("m"), "gram")).alias("g"))
+    chosen = rare.filter("g.m > 0").select("small", F.col("g.gram").alias("gram"))
+    return chosen.join(index, "gram").filter(F.contains("large", F.col("small"))).select("small", "large")
+
+
+def candidates(queries: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(query, phrase): all pairs that can reach the least score, and few others; both inputs: distinct, not empty texts (text).
+
+    Containment is found by rare substrings, shared words by rare words: texts
+    that share 45 / 70 of the larger one's words have one of their first
+    n - ceil(45 n / 70) + 1 words in order of rarity in common.
+    """
+    both = queries.union(phrases)
+    known = both.select(F.explode(F.array_distinct(F.split("text", " "))).alias("word")).groupBy("word").agg(F.count("*").alias("m"))
+    mine, theirs = _rarest_words(queries, known).toDF("query", "word"), _rarest_words(phrases, known).toDF("phrase", "word")
+    shared = mine.join(theirs, "word").select("query", "phrase")
+    held, holds = _inside(queries, phrases).toDF("query", "phrase"), _inside(phrases, queries).select(F.col("large").alias("query"), F.col("small").alias("phrase"))
+    return shared.union(held).union(holds).distinct()
+
+
 def resolve(queries: DataFrame, registry: DataFrame) -> DataFrame:
     """(query, entry, score) of the best entry per query, the first in registry order among equals, from a score of 45.
 
-    queries: (query); registry: (entry, phrase, registry_order), a catalogue of
-    a stated size that is compared as a whole with each query.
+    queries: (query); registry: (entry, phrase, registry_order) of any size:
+    only pairs that can reach the score are compared. Null and empty queries
+    resolve to nothing; an empty phrase begins every query, so of those the
+    first in order stands for all.
     """
-    both = queries.join(registry, F.lit(True)).withColumn("score", F.round(similarity(F.col("query"), F.col("phrase")), 6))
-    best = both.groupBy("query").agg(F.max_by("entry", F.struct("score", -F.col("registry_order"))).alias("entry"), F.max("score").alias("score"))
-    return best.filter(F.col("score") >= LEAST)
+    asked = queries.filter("query <> ''").select(F.col("query").alias("text")).distinct()
+    known = registry.filter("phrase <> ''").groupBy("phrase").agg(F.min_by("entry", "registry_order").alias("entry"), F.min("registry_order").alias("registry_order"))
+    pairs = candidates(asked, known.select(F.col("phrase").alias("text"))).join(known, "phrase")
+    empty = registry.filter("phrase = ''").agg(F.lit("").alias("phrase"), F.min_by("entry", "registry_order").alias("entry"), F.min("registry_order").alias("registry_order")).filter("entry is not null")  # one row at most
+    pairs = pairs.select("query", "phrase", "entry", "registry_order").union(asked.join(F.broadcast(empty)).select(F.col("text"), "phrase", "entry", "registry_order"))
+    scored = pairs.withColumn("score", F.round(similarity(F.col("query"), F.col("phrase")), 6)).filter(F.col("score") >= LEAST)
+    best = scored.groupBy("query").agg(F.max_by("entry", F.struct("score", -F.col("registry_order"))).alias("entry"), F.max("score").alias("score"))
+    return best
 
 
 def suggest(registry: DataFrame, typed: str, limit: int = 5) -> DataFrame:

@@ -205,7 +205,7 @@ def _registry(spark, sf):
 
 
 def game_resolution(spark, sf):
-    """Names typed in part, resolved against all distinct part names (a vocabulary of a few dozen)."""
+    """Names typed in part, resolved against all distinct part names."""
     part = table(spark, sf, "part")
     typed = F.concat_ws(" ", F.element_at(F.split("p_name", " "), -1), F.lower("p_type"))
     queries = part.select(text.normalized(typed).alias("query")).distinct()

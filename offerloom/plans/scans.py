@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from offerloom.functions import pages
+from offerloom.functions import pages, text
 from offerloom.functions.names import dotted
-from offerloom.operators import scan
+from offerloom.operators import probes, resolve, scan
 from offerloom.plans.shop import ITEMS, _joined, items
 from offerloom.sources.tables import table
 
@@ -77,3 +77,45 @@ ORACLES |= {
     "dynamic_pages": """SELECT p_partkey AS page_id, ['nextjs', 'spa-root', 'nuxt', 'nuxt', '', ''][1 + p_partkey % 6] AS frameworks, CASE p_partkey % 6 WHEN 1 THEN '/api/v1/items|/graphql' WHEN 4 THEN '/api/abc' ELSE '' END AS hints, p_partkey % 6 < 2 AS empty_shell, p_partkey % 6 IN (3, 4) AS product_words, p_partkey % 6 IN (0, 1, 3) AS likely_dynamic FROM part
  UNION ALL SELECT -1 - page_id, '', '', false, regexp_matches(html, '(?i)product|denomination|selling_?price|final_?price|price'), false FROM pages""",
 }
+
+
+# Probes and resolving over whole tables ---------------------------------------
+
+# Fixed values of the mapping: the phase that an event stands for.
+PHASE_OF = {"view": "direct", "click": "discovered", "purchase": "sitemap", "signup": "guessed", "error": "guessed"}
+
+
+def probe_budget(spark, sf):
+    """Events as candidates of their users: phases by type, seven addresses, every ninth a success or an end."""
+    phase = F.create_map(*[F.lit(x) for pair in PHASE_OF.items() for x in pair])[F.col("event_type")]
+    outcome = F.when(F.col("event_id") % 9 == 0, "success").when(F.col("event_id") % 9 == 1, "terminal").otherwise("continue")
+    rows = table(spark, sf, "events").select("user_id", phase.alias("phase"), F.col("event_id").alias("pos"), F.concat(F.lit("u"), (F.floor("value") % 7).cast("string")).alias("url"), outcome.alias("outcome"))
+    return probes.probed(rows, "user_id")
+
+
+def title_resolution(spark, sf):
+    """First three words of every document, resolved against all names of parts and the first two words of all documents."""
+    docs = table(spark, sf, "documents").filter("text <> ''")
+    words = F.split(text.normalized(F.substring("text", 1, 400)), " ")
+    queries = docs.select(F.array_join(F.slice(words, 1, 3), " ").alias("query")).distinct()
+    named = table(spark, sf, "part").groupBy(F.col("p_name").alias("entry")).agg(F.min("p_partkey").alias("registry_order")).withColumn("phrase", text.normalized(F.col("entry")))
+    said = docs.select(F.array_join(F.slice(words, 1, 2), " ").alias("entry"), (1_000_000_000 + F.col("doc_id")).alias("registry_order")).groupBy("entry").agg(F.min("registry_order").alias("registry_order")).withColumn("phrase", F.col("entry"))
+    return resolve.resolve(queries, named.unionByName(said)).select("query", "entry", "score")
+
+
+_WORDS = "string_split(trim(regexp_replace(array_to_string(list_transform(string_split(lower(left(text, 400)), ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || ' ' ELSE c END), ''), '[^a-z0-9]+', ' ', 'g')), ' ')"
+QUERIES |= {"probe_budget": probe_budget, "title_resolution": title_resolution}
+ORACLES |= {
+    # Every candidate in its order, one after the other, with what was spent, tried and ended so far.
+    "probe_budget": """WITH RECURSIVE c AS (SELECT user_id, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 ELSE 3 END AS p, event_id AS pos, 'u' || CAST(floor(value) AS BIGINT) % 7 AS url, CASE event_id % 9 WHEN 0 THEN 'success' WHEN 1 THEN 'terminal' ELSE 'continue' END AS outcome FROM events),
+ s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY p, pos) AS n FROM c),
+ w AS (SELECT user_id, 0::BIGINT AS n, -1 AS p, 0 AS used, 0 AS spent, CAST([] AS VARCHAR[]) AS seen, false AS over, false AS hit, 0::BIGINT AS pos, '' AS url, '' AS outcome FROM (SELECT DISTINCT user_id FROM events)
+ UNION ALL SELECT user_id, n, p, used + hit::INT, CASE WHEN p = was THEN spent ELSE 0 END + hit::INT, CASE WHEN hit THEN list_append(seen, url) ELSE seen END, over OR (hit AND outcome <> 'continue'), hit, pos, url, outcome FROM (SELECT w.user_id, s.n, s.p, w.p AS was, used, spent, seen, over, s.pos, s.url, s.outcome,
+  NOT over AND used < 3 AND CASE WHEN s.p = w.p THEN spent ELSE 0 END < CASE WHEN s.p = 0 THEN 3 ELSE 1 END AND NOT list_contains(seen, s.url) AS hit FROM w JOIN s ON s.user_id = w.user_id AND s.n = w.n + 1))
+ SELECT user_id, used AS attempt, ['direct', 'discovered', 'sitemap', 'guessed'][1 + p] AS phase, pos, url, outcome FROM w WHERE hit""",
+    "title_resolution": f"""WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text <> ''), q AS (SELECT DISTINCT array_to_string(w[1:3], ' ') AS query FROM d),
+ r AS (SELECT p_name AS entry, min(p_partkey) AS o, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS phrase FROM part GROUP BY p_name UNION ALL SELECT entry, min(o), entry FROM (SELECT array_to_string(w[1:2], ' ') AS entry, 1000000000 + doc_id AS o FROM d) GROUP BY entry),
+ s AS (SELECT query, entry, o, round(greatest(CASE WHEN query = phrase THEN 100.0 WHEN starts_with(phrase, query) OR starts_with(query, phrase) THEN 82.0 WHEN contains(phrase, query) OR contains(query, phrase) THEN 68.0 ELSE 0.0 END::DOUBLE,
+  len(list_intersect(list_distinct(string_split(query, ' ')), list_distinct(string_split(phrase, ' '))))::DOUBLE / greatest(len(list_distinct(string_split(query, ' '))), len(list_distinct(string_split(phrase, ' ')))) * 70.0), 6) AS score FROM q, r WHERE query <> '')
+ SELECT query, arg_max(entry, ROW(score, -o)) AS entry, max(score) AS score FROM s GROUP BY query HAVING max(score) >= 45""",
+}
