@@ -26,6 +26,9 @@ columns of the input are not read.
 from __future__ import annotations
 
 import re
+import ctypes
+import gc
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -361,7 +364,17 @@ def fit(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", te
     sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").limit(2 * sum(bounds)).collect()
     sample = sorted(sample, key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"], r["_text"] or ""))
     prior = rows.agg(F.avg("_y")).first()[0]
-    return train([r["_text"] for r in sample], [r["_y"] for r in sample], prior)
+    net = train([r["_text"] for r in sample], [r["_y"] for r in sample], prior)
+    del sample
+    returned()
+    return net
+
+
+def returned() -> None:
+    """Give freed memory back to the machine, where the C library can: training frees large arrays that its allocator would hold on to."""
+    gc.collect()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
