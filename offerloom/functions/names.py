@@ -75,6 +75,11 @@ def _named(place: Column, table: list[tuple], member: int) -> Column:
     return F.get(F.array(*(F.lit(row[member]) for row in table)), place)
 
 
+def unit_of(name: Column) -> Column:
+    """The unit that a name counts; null without one."""
+    return _named(_place(F.lower(name), UNITS), UNITS, 0)
+
+
 def multiplier(name: Column) -> Column:
     """First `x` or `×` before a number; 1 without one. Not anchored: `Max 5` counts 5."""
     return F.greatest(F.lit(1), F.coalesce(F.regexp_extract(name, r"(?i)[x×]\s*(\d+)", 1).try_cast("bigint"), F.lit(1)))

@@ -30,6 +30,21 @@ def in_scope(rows: DataFrame, mark: str, within: int, id_col: str = "page_id") -
     return rows.withColumn("since", F.col("pos") - last).filter(F.col("since") <= within)
 
 
+# Headings under which pages show other things than the one asked for, and how many lines belong to it.
+OTHERS = r"(?i)^(?:game lainnya|other games|produk lainnya|other products|rekomendasi game|game rekomendasi|game populer|popular games|you may also like|related games|rekomendasi|recommendations)$"
+BEFORE, AFTER = 2, 90
+
+
+def section(rows: DataFrame, anchor, ends=None, before: int = BEFORE, after: int = AFTER, id_col: str = "page_id") -> DataFrame:
+    """Lines around the first for which anchor holds, up to the next for which ends holds (OTHERS unless given); pages without an anchor give none."""
+    page = Window.partitionBy(id_col)
+    ends = F.trim("line").rlike(OTHERS) if ends is None else ends
+    rows = rows.withColumn("_at", F.min(F.when(anchor, F.col("pos"))).over(page))
+    stop = F.min(F.when(ends & (F.col("pos") > F.col("_at")), F.col("pos"))).over(page)
+    kept = rows.withColumn("_stop", F.least(F.coalesce(stop, F.col("_at") + after), F.col("_at") + after))
+    return kept.filter((F.col("pos") >= F.col("_at") - before) & (F.col("pos") < F.col("_stop"))).drop("_at", "_stop")
+
+
 def nearest_following(rows: DataFrame, key: str, order: list[str], is_product, price, distance: int) -> DataFrame:
     """Products with the first price in the next `distance` rows that comes before the next product."""
     by = Window.partitionBy(key).orderBy(*order)

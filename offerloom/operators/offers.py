@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from offerloom.functions import names
 from offerloom.functions.money import has_mark
 from offerloom.functions.names import canonicalized
 from offerloom.functions.text import normalized, squeezed
@@ -77,6 +78,40 @@ def type_facets(groups: DataFrame) -> DataFrame:
     return groups.groupBy(key.alias("facet")).agg(F.count("*").alias("groups"), F.min("cheapest_price").alias("from_price"))
 
 
+# What users read for units and package types, and the places of types in their list.
+UNIT_LABELS = {"CP": "Call of Duty Points (CP)", "VP": "Valorant Points (VP)"}
+TYPE_LABELS = {
+    "weekly-pass": ("Weekly Diamond Pass", 20), "weekly-card-plus": ("Weekly Card Plus", 25), "weekly-card": ("Weekly Card", 27), "starlight": ("Starlight Membership", 30), "membership": ("Membership", 40), "welkin": ("Welkin Moon", 50), "twilight": ("Twilight Pass", 60), "elite-bundle": ("Weekly Elite Bundle", 70), "epic-bundle": ("Monthly Epic Bundle", 80), "battle-pass": ("Battle Pass", 90), "monthly-pass": ("Monthly Pass", 100), "express-supply-pass": ("Express Supply Pass", 110), "inter-knot-membership": ("Inter-Knot Membership", 120), "coronomicon-monthly": ("Coronomicon Monthly Package", 130), "special-data": ("Special Data", 140), "zero-data": ("Zero Data", 150), "lunite-subscription": ("Lunite Subscription", 160), "other": ("Lainnya", 999),
+}
+CURRENCIES, UNKNOWN = 10, 500
+
+
+def labelled_facets(groups: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, facet, label, place, groups): the kinds of packages that a user may choose among, in their order within a scope.
+
+    Currencies are told apart by unit; one whose unit is not known has it read
+    off its name again, else it is counted in nominals. Labels of equal places
+    are in the order of Indonesian. A facet's label is that of its first name.
+    """
+    unit = F.nullif(F.trim(F.coalesce("unit", F.lit(""))), F.lit(""))
+    read = names.unit_of(F.coalesce("name", F.lit("")))
+    unit = F.coalesce(F.nullif(unit, F.lit("Item")), read, F.lit("Nominal"))
+    known = F.create_map(*(F.lit(x) for pair in UNIT_LABELS.items() for x in pair))
+    types = F.create_map(*(x for k, (label, place) in TYPE_LABELS.items() for x in (F.lit(k), F.struct(F.lit(label).alias("label"), F.lit(place).alias("place")))))
+    kind = F.coalesce("package_type", F.lit("other"))
+    slug = F.regexp_replace(F.regexp_replace(F.lower(unit), "[^a-z0-9]+", "-"), "^-|-$", "")
+    of = types[kind]
+    rows = groups.select(
+        *scope,
+        F.when(kind == "currency", F.concat(F.lit("currency:"), F.coalesce(F.nullif(slug, F.lit("")), F.lit("nominal")))).otherwise(kind).alias("facet"),
+        F.when(kind == "currency", F.coalesce(known[unit], unit)).otherwise(F.coalesce(of["label"], F.replace(F.coalesce("name", kind), F.lit("-"), F.lit(" ")))).alias("label"),
+        F.when(kind == "currency", CURRENCIES).otherwise(F.coalesce(of["place"], F.lit(UNKNOWN))).alias("order"),
+    )
+    facets = rows.groupBy(*scope, "facet").agg(F.min("label").alias("label"), F.min("order").alias("order"), F.count("*").alias("groups"))
+    place = F.row_number().over(Window.partitionBy(*scope).orderBy("order", F.expr("collate(label, 'id')"), "facet"))
+    return facets.withColumn("place", place).select(*scope, "facet", "label", "place", "groups")
+
+
 def page_of(rows: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
     """A page of rows by offset and limit (1 to 20)."""
     return rows.orderBy(order).offset(max(0, offset)).limit(min(20, max(1, limit)))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions import money, names, status, text, urls
 from offerloom.operators import attempts, lines, offers, resolve
-from offerloom.plans import forms, rules, scans, shop
+from offerloom.plans import forms, rules, scans, searches, shop
 from offerloom.sources.tables import feed_offers, table
 from offerloom.streaming.merge import merged
 
@@ -466,5 +466,6 @@ SELECT page_id, scheme, host, path, a <> '' AND b <> '' AND (a = b OR ends_with(
 
 rules.bind(_OFFERS, _GROUPS, _SCORES)
 shop.bind(ORACLES["page_links"])
-QUERIES |= rules.QUERIES | shop.QUERIES | forms.QUERIES | scans.QUERIES
-ORACLES |= rules.ORACLES | shop.ORACLES | forms.ORACLES | scans.ORACLES
+searches.bind(_LINES, _GROUPS)
+QUERIES |= rules.QUERIES | shop.QUERIES | forms.QUERIES | scans.QUERIES | searches.QUERIES
+ORACLES |= rules.ORACLES | shop.ORACLES | forms.ORACLES | scans.ORACLES | searches.ORACLES
