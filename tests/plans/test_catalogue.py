@@ -4,13 +4,13 @@ import pytest
 from offerloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-FAST = ["group_offers", "canonicalize_names", "cheapest_offers", "dedupe_first", "fallback_union", "fallback_price", "game_resolution", "provider_summary", "error_priority", "strategy_chain", "candidate_fold", "nearest_following", "feed_products", "html_lines", "line_slice", "scoped_lines", "page_links", "url_parts", "normalize_text", "product_lines"]
+FAST = ["group_offers", "canonicalize_names", "cheapest_offers", "dedupe_first", "fallback_union", "fallback_price", "game_resolution", "provider_summary", "error_priority", "strategy_chain", "candidate_fold", "nearest_following", "feed_products", "html_lines", "line_slice", "scoped_lines", "page_links", "url_parts", "normalize_text", "product_lines", "assigned_documents", "page_values", "fragment_offers", "serialized_offers", "number_words", "payload_offers", "best_arrays", "page_crawl", "price_texts", "line_kinds", "package_names", "structured_offers", "offers_of_game", "page_evidence", "scanned_offers", "page_reasons", "probe_budget", "title_resolution", "page_states", "page_sections", "facet_labels", "sitemap_urls"]
 
 
 @pytest.fixture(scope="module")
 def con():
     con = duckdb.connect()
-    for t in ("supplier", "part", "lineitem", "events", "documents", "pages"):
+    for t in ("nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
