@@ -156,7 +156,8 @@ def is_product(line: Column) -> Column:
     size = F.char_length(text)
     # Headings that are no product.
     stop = text.rlike(r"^(?:image:|(?:dari|best seller|promo|diskon|pilih|harga|nominal|deskripsi|detail|lihat semua|pilih nominal|pilih produk|pilih diamond)$)") | text.rlike(r"^(?:rp\.?\s*)?\d[\d.,]*$")
-    return (size >= 2) & (size <= 160) & ~is_marketing(line) & ~stop & (is_numeric_product(line) | is_named_package(line))
+    # What few lines are comes first, so that most lines meet two patterns only.
+    return (size >= 2) & (size <= 160) & (is_numeric_product(line) | is_named_package(line)) & ~stop & ~is_marketing(line)
 
 
 def contains_phrase(text: Column, phrase: Column) -> Column:

@@ -1,12 +1,16 @@
 """Offers in the JSON documents that pages carry.
 
-A document is walked level by level in one plan without a shuffle: every step
-explodes the containers on the frontier, so work grows with the objects there
+A document is walked once, in Arrow batches, one document at a time; each of its
+objects becomes a row with its path, so that work grows with the objects there
 are. Only prices and products meet, by the object that both belong to.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +25,6 @@ NESTED = ["offers", "offer", "priceSpecification", "price_specification", "prici
 DEPTH, BELOW = 18, 3
 
 _STEP = "struct<key string, pos int>"
-_LINK = f"struct<path array<{_STEP}>, v variant, names array<string>>"
 
 
 def documents(rows: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -31,50 +34,64 @@ def documents(rows: DataFrame, id_col: str = "page_id", html_col: str = "html")
     return script.filter(kind).select(id_col, "doc", pages.json_document(F.col("s.body")).alias("v")).filter("v is not null")
 
 
-def _fields(v: Column, keys: list[str], read) -> Column:
-    """The first of some fields of an object that gives something."""
-    held = F.try_variant_get(v, "$", "map<string,variant>")
-    return F.get(F.filter(F.transform(F.array(*map(F.lit, keys)), lambda k: read(held[k])), lambda x: x.isNotNull()), F.lit(0))
-
-
-def _string(x: Column) -> Column:
-    """What a variant holds if it is a text and not blank, its ends trimmed."""
-    return F.when(F.schema_of_variant(x) == "STRING", F.nullif(F.btrim(F.try_variant_get(x, "$", "string"), F.lit(" \t\r\n\u00a0")), F.lit("")))
-
-
-def _price(x: Column) -> Column:
+def _price(text: Column, number: Column) -> Column:
     """A number above nothing rounded, or the price that a text says."""
-    number = F.floor(F.try_variant_get(x, "$", "double") + 0.5).cast("bigint")
-    return F.when(F.schema_of_variant(x) == "STRING", money.structured(F.try_variant_get(x, "$", "string"))).when(F.schema_of_variant(x).rlike("^(?:BIGINT|DOUBLE|DECIMAL|FLOAT)") & (number > 0), number)
+    whole = F.floor(number + 0.5).cast("bigint")
+    return F.when(text.isNotNull(), money.structured(text)).when(whole > 0, whole)
 
 
-def first_string(v: Column, keys: list[str]) -> Column:
-    return _fields(v, keys, _string)
+def _said(held: dict, keys: list[str]) -> str | None:
+    """The first of some fields that holds a text that is not blank, its ends trimmed."""
+    for k in keys:
+        if isinstance(held.get(k), str) and (found := held[k].strip(" \t\r\n\u00a0")):
+            return found
+    return None
 
 
-def direct_price(v: Column) -> Column:
-    return _fields(v, PRICE_KEYS, _price)
+def _number(x) -> float | None:
+    try:
+        return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) and abs(x) < 1e15 else None
+    except OverflowError:
+        return None
 
 
-def _children(v: Column) -> Column:
-    """Containers directly inside an object or array, with the field or place they stand at."""
-    fields = F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), lambda e: F.struct(e["key"].alias("key"), F.lit(-1).alias("pos"), e["value"].alias("v")))
-    items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x, k: F.struct(F.lit(None).cast("string").alias("key"), k.alias("pos"), x.alias("v")))
-    holds = lambda c: F.try_variant_get(c["v"], "$", "map<string,variant>").isNotNull() | F.try_variant_get(c["v"], "$", "array<variant>").isNotNull()
-    return F.filter(F.coalesce(fields, items), holds)
+def _walk(value, path: tuple, names: tuple) -> Iterator[tuple[tuple, tuple, dict]]:
+    """(path, names of the objects around it, object) of every object, DEPTH levels down, fields in their order."""
+    if isinstance(value, dict):
+        yield path, names, value
+        below = [((k, -1), v) for k, v in value.items()]
+        own = _said(value, NAME_KEYS)
+        names = names + (own,) if own else names
+    else:
+        below = [((None, k), v) for k, v in enumerate(value)]
+    if len(path) < DEPTH:
+        for step, v in below:
+            if isinstance(v, (dict, list)):
+                yield from _walk(v, (*path, step), names)
 
 
 def objects(docs: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """(id, doc, path, v, names): every object of the documents and the names of the objects around it, from outside in."""
-    rows = docs.select(id_col, "doc", F.from_json(F.lit("[]"), f"array<{_STEP}>").alias("path"), "v", F.array().cast("array<string>").alias("names"))
-    for level in range(DEPTH):
-        path, v, names = F.col("path"), F.col("v"), F.col("names")
-        own = F.array_append(names, first_string(v, NAME_KEYS))
-        down = F.transform(_children(v), lambda c: F.struct(F.array_append(path, F.struct(c["key"].alias("key"), c["pos"].alias("pos"))).alias("path"), c["v"].alias("v"), own.alias("names")))  # noqa: B023
-        here = F.array(F.struct(path.alias("path"), v.alias("v"), names.alias("names")))
-        on = F.when(F.size(path) == level, F.concat(here.cast(f"array<{_LINK}>"), F.coalesce(down.cast(f"array<{_LINK}>"), F.array().cast(f"array<{_LINK}>")))).otherwise(here.cast(f"array<{_LINK}>"))
-        rows = rows.select(id_col, "doc", F.explode(on).alias("n")).select(id_col, "doc", "n.*")
-    return rows.filter(F.try_variant_get("v", "$", "map<string,variant>").isNotNull())
+    """(id, doc, path, names, name, url, prices): every object of the documents, the names of the objects around it from outside in, and what its own fields say."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    steps, prices = pa.list_(pa.struct([("key", pa.string()), ("pos", pa.int32())])), pa.list_(pa.struct([("text", pa.string()), ("number", pa.float64())]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for i, t in enumerate(batch.column(2).to_pylist()):
+                value = json.loads(t)
+                for path, names, held in _walk(value, (), ()) if isinstance(value, (dict, list)) else ():
+                    there = [held[k] for k in PRICE_KEYS if k in held]
+                    told = [{"text": x if isinstance(x, str) else None, "number": _number(x)} for x in there if isinstance(x, str) or _number(x) is not None]
+                    rows.append((i, [{"key": k, "pos": n} for k, n in path], list(names), _said(held, NAME_KEYS), _said(held, URL_KEYS), told))
+            if rows:
+                at, *columns = zip(*rows)
+                at = pa.array(at, pa.int64())
+                types = (steps, pa.list_(pa.string()), pa.string(), pa.string(), prices)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *(pa.array(c, t) for c, t in zip(columns, types))], names=[id_col, "doc", "path", "names", "name", "url", "prices"])
+
+    shape = f"{id_col} {kind}, doc int, path array<{_STEP}>, names array<string>, name string, url string, prices array<struct<text string, number double>>"
+    return docs.filter("v is not null").select(id_col, "doc", F.to_json("v")).mapInArrow(scan, shape)
 
 
 def _above(path: Column) -> Column:
@@ -94,8 +111,8 @@ def structured_offers(docs: DataFrame, id_col: str = "page_id") -> DataFrame:
     """
     found = objects(docs, id_col)
     inherited = F.get(F.reverse(F.filter("names", lambda n: text.is_product(n))), F.lit(0))
-    name = F.coalesce(first_string(F.col("v"), NAME_KEYS), inherited)
-    rows = found.select(id_col, "doc", "path", name.alias("original_name"), first_string(F.col("v"), URL_KEYS).alias("url"), direct_price(F.col("v")).alias("final_price"))
+    price = F.get(F.filter(F.transform("prices", lambda p: _price(p["text"], p["number"])), lambda x: x.isNotNull()), F.lit(0))
+    rows = found.select(id_col, "doc", "path", F.coalesce("name", inherited).alias("original_name"), "url", price.alias("final_price"))
     for k in range(BELOW):
         rows = rows.withColumn(f"_up{k}", _above(F.col(f"_up{k - 1}" if k else "path")))
     full = F.col("path")

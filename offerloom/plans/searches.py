@@ -62,9 +62,9 @@ _IDENTITY = "regexp_replace(p_name, '[^a-z0-9]+', ' ', 'g')"
 QUERIES |= {"page_states": page_states, "page_sections": page_sections, "facet_labels": facet_labels, "sitemap_urls": sitemap_urls}
 ORACLES |= {
     "page_states": "SELECT p_partkey, " + ", ".join(f"{_sql_list([r[k] for r in SAID])}[1 + p_partkey % {len(SAID)}] AS {n}" for k, n in ((3, "code"), (4, "reason"))) + " FROM part",
-    # Of all parts named as the wanted one, by the form of their address: with dashes 112 and the letters, run together 100 and the letters; blog addresses lose 100.
+    # Parts whose letters hold those of the wanted one: 112 and its letters for its own name with dashes, else 100 and its letters; blog addresses lose 100.
     "sitemap_urls": """WITH s AS (SELECT s_suppkey AS store, p_name AS wanted, length(replace(p_name, ' ', '')) AS n FROM supplier JOIN part ON p_partkey = s_suppkey),
- c AS (SELECT store, p.p_partkey AS k, 'https://s' || store || '.id' || CASE p.p_partkey % 3 WHEN 0 THEN '/game/' || replace(p.p_name, ' ', '-') ELSE '/' || replace(p.p_name, ' ', '') END || '?p=' || p.p_partkey || '&x=1' AS url, CAST(n + CASE p.p_partkey % 3 WHEN 0 THEN 112 ELSE 100 END AS INT) AS score FROM s JOIN part p ON p.p_partkey % 20 = store % 20 AND p.p_name = wanted AND p.p_partkey % 3 < 2)
+ c AS (SELECT store, p.p_partkey AS k, 'https://s' || store || '.id' || CASE p.p_partkey % 3 WHEN 0 THEN '/game/' || replace(p.p_name, ' ', '-') ELSE '/' || replace(p.p_name, ' ', '') END || '?p=' || p.p_partkey || '&x=1' AS url, CAST(n + CASE WHEN p.p_partkey % 3 = 0 AND p.p_name = wanted THEN 112 ELSE 100 END AS INT) AS score FROM s JOIN part p ON p.p_partkey % 20 = store % 20 AND contains(replace(p.p_name, ' ', ''), replace(wanted, ' ', '')) AND p.p_partkey % 3 < 2)
  SELECT store AS store_id, url, score, CAST(row_number() OVER (PARTITION BY store ORDER BY score DESC, k) AS INT) AS place FROM c QUALIFY place <= 4""",
 }
 
