@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.functions.text import contains_phrase, decoded, normalized, squeezed
+from offerloom.functions.text import bound, contains_phrase, decoded, normalized, squeezed
 
 _PARTS = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://([^/?#]*)([^?#]*)"
 _LINK = r'(?is)<a\s[^>]*?href\s*=\s*(?:"([^"]+)"|\'([^\']+)\'|([^\s>"\']+))[^>]*>(.*?)</a>'
@@ -35,15 +35,17 @@ def same_site(a: Column, b: Column) -> Column:
 
 def absolute(href: Column, base: Column) -> Column:
     """href against the page it stands on, without its fragment; null unless http or https."""
-    href = F.regexp_replace(href, "#.*$", "")
-    whole = (
-        F.when(href.rlike("^(?i:https?)://"), href)
-        .when(href.startswith("//"), F.concat(scheme(base), F.lit(":"), href))
-        .when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
-        .when(href.startswith("/"), F.concat(origin(base), href))
-        .otherwise(F.concat(origin(base), F.regexp_replace(path(base), "[^/]*$", ""), href))
+    whole = bound(
+        F.regexp_replace(href, "#.*$", ""),
+        lambda h: (
+            F.when(h.rlike("^(?i:https?)://"), h)
+            .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
+            .when(h.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.lit(None))
+            .when(h.startswith("/"), F.concat(origin(base), h))
+            .otherwise(F.concat(origin(base), F.regexp_replace(path(base), "[^/]*$", ""), h))
+        ),
     )
-    return F.when(host(whole) != "", whole)
+    return bound(whole, lambda w: F.when(host(w) != "", w))
 
 
 def links(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -61,16 +63,20 @@ BAD_LINK = r"(?:^| )(?:login|register|signin|signup|account|cart|checkout|privac
 
 def link_score(text: Column, href: Column, home: Column, identity: Column) -> Column:
     """How much a link looks as if it led to the named thing: whole phrases first, then compact forms of strong names."""
-    t, h = normalized(text), normalized(href)
     compact = F.replace(identity, F.lit(" "), F.lit(""))
     size = F.char_length(compact)
     strong = (F.size(F.split(identity, " ")) >= 2) | (size >= 4)
     inside = lambda x: F.contains(F.replace(x, F.lit(" "), F.lit("")), compact)
-    best = F.greatest(
-        F.lit(0),
-        F.when(contains_phrase(t, identity), F.when(strong, 130).otherwise(72) + size),
-        F.when(contains_phrase(h, identity), F.when(strong, 112).otherwise(62) + size),
-        F.when(strong & inside(t), size + 118),
-        F.when(strong & inside(h), size + 100),
-    )
-    return best - F.when(F.concat_ws(" ", t, h).rlike(BAD_LINK), 100).otherwise(0) - F.when(origin(href) == origin(home), 0).otherwise(70)
+
+    def scored(t: Column, h: Column) -> Column:
+        best = F.greatest(
+            F.lit(0),
+            F.when(contains_phrase(t, identity), F.when(strong, 130).otherwise(72) + size),
+            F.when(contains_phrase(h, identity), F.when(strong, 112).otherwise(62) + size),
+            F.when(strong & inside(t), size + 118),
+            F.when(strong & inside(h), size + 100),
+        )
+        return best - F.when(F.concat_ws(" ", t, h).rlike(BAD_LINK), 100).otherwise(0)
+
+    best = bound(normalized(text), lambda t: bound(normalized(href), lambda h: scored(t, h)))
+    return best - F.when(origin(href) == origin(home), 0).otherwise(70)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from offerloom.functions.text import decoded
+from offerloom.functions.text import decoded, normalized
 from offerloom.functions.urls import absolute, link_score
 from offerloom.operators.crawl import crawl
+from offerloom.sources.tables import kept as kept_once
 
 #: Sitemaps read for a store, the least score of an address, and addresses kept.
 SITEMAPS, SCORE, KEPT = 2, 85, 4
@@ -35,12 +36,17 @@ def discovered(stores: DataFrame, sitemaps: DataFrame, most: int = SITEMAPS, lea
     """
     origin = F.regexp_extract("homepage", r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     known = stores.filter(origin != "").select("store_id", "homepage", "identity", F.array(*(F.concat(origin, F.lit(r)) for r in ROOTS)).alias("seeds"))
-    named = locations(sitemaps)
+    # A sitemap is small and names many addresses, so sitemaps are dealt by number, and each is read once.
+    spread = int(sitemaps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    letters = F.replace(normalized(F.col("location")), F.lit(" "), F.lit(""))
+    named = kept_once(locations(sitemaps.repartition(spread, "url")).withColumn("_letters", letters))
     order = Window.partitionBy("url").orderBy(F.col("location").rlike(FIRST).desc(), "pos")
     nested = named.filter(F.col("location").rlike(NESTED)).withColumn("k", F.row_number().over(order)).filter(F.col("k") < most)
     onward = nested.groupBy(F.col("url").alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "location"))), lambda x: x["location"]).alias("next"))
     read = crawl(known.select(F.col("store_id").alias("start"), "seeds"), onward, pages=most, depth=1)
     met = read.join(named, F.col("page") == F.col("url")).join(known, F.col("start") == F.col("store_id"))
+    if least > 0:  # an address without the letters of the named thing scores nothing
+        met = met.filter(F.contains("_letters", F.replace("identity", F.lit(" "), F.lit(""))))
     score = link_score(F.lit(""), F.col("location"), F.col("homepage"), F.col("identity"))
     best = met.withColumn("score", score.cast("int")).filter(F.col("score") >= least).groupBy("store_id", F.col("location").alias("url")).agg(F.max("score").alias("score"), F.min(F.struct("step", "pos")).alias("_at"))
     place = F.row_number().over(Window.partitionBy("store_id").orderBy(F.desc("score"), "_at"))
