@@ -103,6 +103,19 @@ def test_resolving_compares_all_that_can_reach_the_score(spark):
     assert plan.count("NestedLoop") <= 1  # the one row for an empty phrase
 
 
+def test_resolving_compares_only_what_begins_with_no_phrase(spark, monkeypatch):
+    asked = spark.createDataFrame([(q,) for q in ("the red ring of fire", "the red", "th", "ring the red", "fire")], "query string")
+    known = spark.createDataFrame([("a", "the red ring", 3), ("b", "the red", 2), ("c", "the", 1), ("d", "red ring the", 4), ("e", "", 9)], "entry string, phrase string, registry_order int")
+    compared = []
+    given = resolve.candidates
+    monkeypatch.setattr(resolve, "candidates", lambda q, p: compared.extend(r.text for r in q.collect()) or given(q, p))
+    got = {r.query: (r.entry, r.score) for r in resolve.resolve(asked, known.filter("phrase <> ''")).collect()}
+    assert got == {"the red ring of fire": ("c", 82.0), "the red": ("b", 100.0), "th": ("c", 82.0), "ring the red": ("a", 70.0)}
+    assert sorted(compared) == ["fire", "ring the red"]
+    compared.clear()
+    assert {r.query: r.entry for r in resolve.resolve(asked, known).collect()}["fire"] == "e" and not compared
+
+
 def test_scan_watches_its_extractors(spark):
     from pyspark.sql import Observation
 
