@@ -67,7 +67,7 @@ def mentions(rows: DataFrame, key: list[str], column: str, names: DataFrame) ->
     """(key, place, mentioned, identity, strong, size): the names that stand in a text as whole phrases."""
     longest = names.agg(F.max(F.size(F.split("identity", " ")))).first()[0] or 1
     run = rows.select(*key, F.explode(_runs(F.split(text.normalized(F.col(column)), " "), longest)).alias("identity"))
-    return run.join(names.withColumnRenamed("game_id", "mentioned"), "identity")
+    return run.join(F.broadcast(names.withColumnRenamed("game_id", "mentioned")), "identity")
 
 
 def package_fits(name: Column, game_id: Column) -> Column:
@@ -105,12 +105,14 @@ def page_evidence(signals: DataFrame, games: DataFrame) -> DataFrame:
     title, headings, descriptions or data does, or twice in the body next to a
     unit. Of other games the one with the longest name is told, the first among
     equals. Games that are not registered give no row; null texts are empty.
+    The registry goes to every executor: by game, all pages would land in as
+    many tasks as there are games.
     """
     every = identities(games)
     own = every.groupBy("game_id").agg(F.collect_set(F.when(F.col("strong"), F.col("identity"))).alias("_strong"), F.collect_set(F.when(~F.col("strong"), F.col("identity"))).alias("_short"))
     rivals = mentions(signals.select("page_id", "game_id", F.concat_ws(" ", "title", "heading").alias("_t")), ["page_id", "game_id"], "_t", every.filter("strong")).filter("mentioned <> game_id")
-    rival = rivals.groupBy("page_id", "game_id").agg(F.max_by("mentioned", F.struct("size", -F.col("place"))).alias("mentioned")).join(games.select(F.col("game_id").alias("mentioned"), F.col("name").alias("_rival")), "mentioned").drop("mentioned")
-    rows = signals.join(own, "game_id").join(games.select("game_id", _units().alias("_units")), "game_id").join(rival, ["page_id", "game_id"], "left")
+    rival = rivals.groupBy("page_id", "game_id").agg(F.max_by("mentioned", F.struct("size", -F.col("place"))).alias("mentioned")).join(F.broadcast(games.select(F.col("game_id").alias("mentioned"), F.col("name").alias("_rival"))), "mentioned").drop("mentioned")
+    rows = signals.join(F.broadcast(own.join(games.select("game_id", _units().alias("_units")), "game_id")), "game_id").join(rival, ["page_id", "game_id"], "left")
 
     def says(field: Column, names: str) -> Column:
         return F.exists(names, lambda n: text.contains_phrase(text.normalized(field), n))
