@@ -36,3 +36,10 @@ def test_prices_in_arrays_name_their_patterns_once(spark):
     named = lambda c: _plan(rows.select(c)).count("regexp_replace")
     one = named(money.rupiah(F.col("t")))
     assert named(money.first_strict(F.col("t"))) <= 2 * one and named(money.structured(F.col("t"))) <= 2 * one
+
+
+def test_texts_without_escapes_pass_no_patterns(spark):
+    rows = spark.createDataFrame([("a\\u0026b\\x3cp\\x3e\\nc<br/>d<i>e", "a&b \n\nc\nd e"), ("plain 5 UC", "plain 5 UC"), (None, None)], "t string, want string").repartition(1)
+    out = rows.select(serialized.serialized(F.col("t")).alias("got"), "want")
+    assert [r.got.replace(" ", "") if r.got else r.got for r in out.collect()] == [w.replace(" ", "") if w else w for w in ("a&b\nc\nde", "plain 5 UC", None)]
+    assert _plan(out).count("contains") >= 4  # asked before any of them, of escapes, tags and entities
