@@ -30,6 +30,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -46,7 +47,7 @@ GROUPS = 32  # sizes left after rounding
 ROUNDS, SLACK = 1, 2  # times that loose sequences are grouped anew; what a sequence that stays may lack
 STEPS = 2_000  # configurations that may enter the optimum; it is reached long before
 PER_SALT = 4_000  # pieces of a length ranked together, about
-CACHE = 250_000  # distinct words whose ids a worker keeps
+CACHE = 600_000  # distinct words whose ids a worker keeps
 JOINED = 256  # words given to the tokenizer in one string
 #: Up to this character the word pattern below is known to cut as the tokenizer does; other texts are given to it whole.
 PLAIN = 0x24F
@@ -60,23 +61,35 @@ def _pattern() -> tuple[re.Pattern, re.Pattern]:
     return re.compile(word), re.compile(f"[^\x00-{chr(PLAIN)}]|<\\|endoftext\\|>")
 
 
+class Numbers(dict):
+    """Numbers of words by first sight; `new` holds those that were not asked for before."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        self.new.append(word)
+        return number
+
+
 class Words:
     """Ids of texts by the tokenizer, which is asked once for each distinct word."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cache = Tokenizer.from_file(path), cache
         self.word, self.odd = _pattern()
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.store, self.many = np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        self.number = Numbers()
+        self.store, self.begin, self.many = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
-        joined = [w for w in words if w[0] == " " and w[1:].isalpha()]  # end to end, the tokenizer cuts them as they are
-        single = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        joins = np.fromiter((w[0] == " " and w[-1].isalpha() for w in words), bool, len(words))  # letters behind a blank: end to end, the tokenizer cuts them as they are
+        joined, single = [words[i] for i in np.flatnonzero(joins)], [words[i] for i in np.flatnonzero(~joins)]
         ids, many = [], []
         for i in range(0, len(joined), JOINED):
             found = self.tokenizer.encode("".join(joined[i : i + JOINED]), add_special_tokens=False)
@@ -85,9 +98,10 @@ class Words:
         found = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in single]
         many.append(np.fromiter(map(len, found), np.int64, len(found)))
         ids.append(np.fromiter(chain.from_iterable(found), "<u4", many[-1].sum()))
-        self.number.update(zip(joined + single, range(len(self.number), len(self.number) + len(words))))
-        self.store, self.many = np.concatenate([self.store, *ids]), np.concatenate([self.many, *many])
-        self.begin = np.cumsum(self.many) - self.many
+        counts, own = np.concatenate(many), np.empty(len(words), np.int64)
+        own[np.concatenate([np.flatnonzero(joins), np.flatnonzero(~joins)])] = np.arange(len(words))
+        self.begin = np.append(self.begin, (len(self.store) + np.cumsum(counts) - counts)[own])
+        self.store, self.many = np.concatenate([self.store, *ids]), np.append(self.many, counts[own])
 
     def _plain(self, text: str) -> bool:
         """Whether the word pattern cuts the text as the tokenizer does."""
@@ -99,7 +113,7 @@ class Words:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        if len(self.number) > CACHE:
+        if len(self.number) > self.cache:
             self.forget()
         words, counts, whole = [], [], []
         for i, text in enumerate(texts):
@@ -109,8 +123,10 @@ class Words:
             elif text:
                 whole.append(i)
             counts.append(len(words) - before)
-        self._learn(list(set(words).difference(self.number)))
         at = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        new, self.number.new = self.number.new, []
+        if new:
+            self._learn(new)
         many = self.many[at]
         ends = np.cumsum(many)
         ids = self.store[np.repeat(self.begin[at] - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)]
@@ -121,6 +137,12 @@ class Words:
         return out
 
 
+@lru_cache(maxsize=1)
+def learnt(path: str) -> Words:
+    """Words that one task has learnt serve the next of the same worker."""
+    return Words(path)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -135,7 +157,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(path or tokenizer_path())
+        words = learnt(path or tokenizer_path())
         end = np.array([END], "<u4")
         for part, texts in slices(batches, "_text", 1_000_000):
             row, piece, start, length, crc, ids = [], [], [], [], [], []

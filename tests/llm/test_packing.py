@@ -18,6 +18,24 @@ def test_ids_equal_tokenizer(text):
     assert WORDS([text, None, text])[2].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+def test_a_worker_learns_each_word_once(monkeypatch):
+    learnt = []
+    learn = packing.Words._learn
+    monkeypatch.setattr(packing.Words, "_learn", lambda self, words: (learnt.extend(words), learn(self, words)) and None)
+    packing.learnt.cache_clear()
+    for _ in range(2):  # two tasks
+        for texts in (["Ab cd, ef1 ab", None], ["cd ab  cd\n", ""]):
+            got = packing.learnt(packing.tokenizer_path())(texts)
+            assert [x.tolist() for x in got] == [TOKENIZER.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert len(learnt) == len(set(learnt)) > 5
+
+
+def test_ids_stay_when_words_are_forgotten():
+    words = packing.Words(packing.tokenizer_path(), cache=3)
+    for text in ("one two  three four", "five, six one two", "two one\n\nseven", "one two  three four"):
+        assert words([text])[0].tolist() == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 100), st.integers(1, 30), max_size=40), st.integers(1, 20))
 def test_plan_uses_every_piece_once(histogram, groups):
