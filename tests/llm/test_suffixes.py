@@ -40,6 +40,28 @@ def test_buckets_are_equal_bytes():
     assert all(len(x) == 1 for x in first.values()) and len(set(held)) == len(first)
 
 
+def test_kinds_are_ordered_by_anchor_and_whole_pointer():
+    rng = np.random.default_rng(5)
+    anchor = rng.integers(0, 3, 2_000, dtype=np.uint64)
+    pointer = (rng.integers(0, 2, 2_000, dtype=np.uint64) << np.uint64(40)) | rng.integers(0, 5, 2_000, dtype=np.uint64)
+    order = suffixes._order(anchor, pointer)
+    assert sorted(order.tolist()) == list(range(2_000))
+    assert list(zip(anchor[order], pointer[order])) == sorted(zip(anchor, pointer))
+
+
+def test_blocks_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(7)
+    texts = [bytes(rng.choice(b"abcd \n") for _ in range(n)) for n in (50, 0, 700, 49, 3, 131, 51, 2000)] + [b"a" * 400, b"abcab" * 60]
+    whole = suffixes.Blocks(texts)
+    monkeypatch.setattr(suffixes, "PIECE", 64)
+    pieces = suffixes.Blocks(texts)
+    for name in ("doc", "first", "last", "anchor", "pointer", "half"):
+        assert getattr(whole, name).tolist() == getattr(pieces, name).tolist()
+    starts = [p for d, t in enumerate(texts) for p in range(whole.begins[d], whole.begins[d] + len(t) - 49)]
+    assert [p for x, y in zip(whole.first, whole.last) for p in range(x, y + 1)] == starts
+    assert all(whole.begins[d] <= x and y + 50 <= whole.begins[d] + len(texts[d]) for d, x, y in zip(whole.doc, whole.first, whole.last))
+
+
 @pytest.mark.parametrize("seed, hot", [(1, 4096), (2, 4096), (2, 2)])
 def test_equals_brute_force(spark, seed, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT_KINDS", hot)
