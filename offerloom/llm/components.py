@@ -8,20 +8,25 @@ from pyspark.sql import functions as F
 from offerloom.llm.durable import durable
 
 SHARE = 500  # a key with more than this part of all rows is looked up in a broadcast table, which has at most so many rows
+FEW = 2_000  # rows of a key that one task may gather, whatever part of all they are
 
 
 def share_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", keep: bool = False) -> DataFrame:
     """Joins `one` (a row for each key, `w` saying how many rows of `many` have it) to `many` without gathering a hot key.
 
-    Keys that hold more than 1 / SHARE of all rows are fewer than SHARE, so they
-    are broadcast; the rows of all others are shuffled. `keep` leaves w in.
+    Keys that hold more than 1 / SHARE of all rows (and more than FEW) are fewer
+    than SHARE, so they are broadcast; the rows of all others are shuffled.
+    Without such keys it is a plain join. `keep` leaves w in.
     """
-    total = one.agg(F.sum("w")).first()[0] or 0
-    hot = one.filter(F.col("w") > total / SHARE)
+    total, most = one.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.max("w"), F.lit(0))).first()
+    bound = max(total / SHARE, FEW)
+    hot = one.filter(F.col("w") > bound)
     names = [c for c in one.columns if c not in (key, "w") or (keep and c == "w")]
+    if most <= bound:
+        return many.join(one.select(key, *names), key, how).select(*many.columns, *names)
     marked = many.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"), *[F.col(c).alias(f"_{c}") for c in names])), key, "left")
     first = marked.filter("_hot").select(*many.columns, *[F.col(f"_{c}").alias(c) for c in names])
-    rest = marked.filter("_hot is null").select(*many.columns).join(one.filter(F.col("w") <= total / SHARE).select(key, *names), key, how)
+    rest = marked.filter("_hot is null").select(*many.columns).join(one.filter(F.col("w") <= bound).select(key, *names), key, how)
     return first.union(rest.select(*first.columns))
 
 

@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 import ctypes
 import gc
+import pickle
 import sys
 import zlib
 from collections.abc import Iterator
@@ -356,18 +357,26 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bounds: tuple[int, int] = (POSITIVES, NEGATIVES)) -> Network:
-    """Train on at most bounds[0] toxic and bounds[1] other documents, chosen by a hash of their ids."""
+    """Train on at most bounds[0] toxic and bounds[1] other documents, chosen by a hash of their ids.
+
+    One task trains, as the sample is bounded; the driver gets the parameters only.
+    """
     rows = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)").filter(~held_out(F.col("_id")))
     order = F.xxhash64(F.col("_id").cast("string"))
     chosen = rows.filter("_y = 1").orderBy(order, "_id").limit(bounds[0]).union(rows.filter("_y = 0").orderBy(order, "_id").limit(bounds[1]))
     # The broadcast side has at most sum(bounds) rows of two numbers.
-    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").limit(2 * sum(bounds)).collect()
-    sample = sorted(sample, key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"], r["_text"] or ""))
+    sample = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id").limit(2 * sum(bounds)).select("_id", "_text", "_y")
     prior = rows.agg(F.avg("_y")).first()[0]
-    net = train([r["_text"] for r in sample], [r["_y"] for r in sample], prior)
-    del sample
-    returned()
-    return net
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"], r["_text"] or ""))
+        net = pickle.dumps(train([r["_text"] for r in own], [r["_y"] for r in own], prior))
+        del own
+        returned()
+        yield pa.RecordBatch.from_arrays([pa.array([net], pa.binary())], names=["net"])
+
+    found = sample.coalesce(1).mapInArrow(learn, "net binary").collect()
+    return pickle.loads(found[0]["net"]) if found else train([], [], prior)
 
 
 def returned() -> None:

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from offerloom.llm import jaccard
+from offerloom.llm import components, jaccard
 
 
 def sets(texts):
@@ -96,3 +96,16 @@ def test_sql_agrees_on_a_small_fixture(spark):
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", list(texts.items()))
     assert {a: (b, c) for a, b, c in con.execute(jaccard.OP2_SQL).fetchall()} == brute(texts)
+
+
+@pytest.mark.parametrize("few", [0, 3, 10_000])
+def test_share_join_is_plain_without_hot_keys(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
+    monkeypatch.setattr(components, "SHARE", 4)
+    many = spark.createDataFrame([(1, k) for k in range(9)] + [(2, k) for k in range(4)] + [(3, 0), (4, 0), (None, 0)], "key int, v int")
+    one = spark.createDataFrame([(1, 9, "a"), (2, 4, "b"), (3, 1, "c")], "key int, w long, x string")
+    for how in ("inner", "left"):
+        got = components.share_join(many, one, "key", how)
+        assert sorted(map(str, got.collect())) == sorted(map(str, many.join(one.select("key", "x"), "key", how).collect()))
+        assert ("Union" in got._jdf.queryExecution().optimizedPlan().toString()) == (few < 9)
+    assert "w" in components.share_join(many, one, "key", keep=True).columns

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 
 from offerloom.llm import toxicity as tox
@@ -72,3 +74,15 @@ def test_edge_rows(spark):
     net = tox.fit(df, labels, tox.held_out)
     assert [r.score for r in tox.score(df, net).collect()] == [0.0] * 4
     assert tox.score(df.limit(0), net).count() == 0
+
+
+def test_a_task_trains_and_not_the_driver(spark, monkeypatch):
+    def train(texts, labels, prior):
+        net = tox.Network()
+        net.base = float(os.getpid())
+        return net.frozen()
+
+    monkeypatch.setattr(tox, "train", train)
+    docs = spark.createDataFrame([(k, f"some words {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    assert tox.fit(docs, labels, tox.held_out).base not in (0.0, float(os.getpid()))
