@@ -109,13 +109,13 @@ def line_pages(spark, sf):
 
 def listed_offers(spark, sf):
     """Offers of each page's list of packages, within three lines."""
-    rows = lines.slice_lines(lines.page_lines(line_pages(spark, sf)), "(?i)pilih nominal", "(?i)pilih pembayaran")
-    return lines.line_offers(rows, DISTANCE).select("page_id", "original_name", "final_price")
+    rows = lines.listed(line_pages(spark, sf), "(?i)pilih nominal", "(?i)pilih pembayaran")
+    return lines.list_offers(rows, DISTANCE).select("page_id", "original_name", "final_price")
 
 
 def unit_pages(spark, sf):
     """Whether a page's list has a line of UC with an exact price soon after it."""
-    rows = lines.slice_lines(lines.page_lines(line_pages(spark, sf)), "(?i)pilih nominal", "(?i)pilih pembayaran")
+    rows = lines.listed(line_pages(spark, sf), "(?i)pilih nominal", "(?i)pilih pembayaran").select("page_id", F.inline("lines"))
     return lines.unit_near_price(rows, text.contains_phrase(text.normalized(F.col("line")), F.lit("uc")))
 
 
