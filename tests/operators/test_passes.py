@@ -21,3 +21,11 @@ def test_pages_are_built_once_for_each_strategy(spark, tmp_path):
 def test_pages_of_three_kinds_are_gathered_at_once(spark, sf_dir):
     plan = _plan(scans.mixed_pages(spark, sf_dir))
     assert plan.count("Aggregate [") == 1 and "Join" not in plan
+
+
+def test_scans_send_offers_once(spark):
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "page_id long, html string")
+    mine = {n: lambda r, p=p: r.selectExpr("page_id", f"{p} as pos", "'5  Uc' as original_name", "5L as final_price") for n, p in (("a", 2), ("b", 1))}
+    found = scan.scanned(rows, mine)
+    assert _plan(found, "executedPlan").count("Exchange hashpartitioning") == 1
+    assert sorted(map(tuple, found.collect())) == [(1, "a", 2, "5  Uc", 5), (2, "a", 2, "5  Uc", 5)]
