@@ -27,13 +27,12 @@ def group_offers(offers: DataFrame) -> DataFrame:
     """One row per game and package with price metrics; names come from the first arriving offer.
 
     Every aggregate combines before the shuffle; the count of stores takes one
-    more pair (group, store) per task.
+    more pair (group, store) per task, so what goes along with it is small: of
+    the first offer its name only, which says the rest again for each group.
     """
-    cheap = F.struct("final_price", "store_name", "arrival_seq")
     groups = canonicalized(priced(offers)).groupBy(*KEY).agg(
-        F.min_by(F.struct("canonical_name", "package_type", "unit", "total_amount"), "arrival_seq").alias("first"),
-        F.min("final_price").alias("cheapest_price"),
-        F.min_by("store_name", cheap).alias("cheapest_store"),
+        F.min_by("original_name", "arrival_seq").alias("first"),
+        F.min(F.struct("final_price", "store_name")).alias("cheapest"),
         F.max("final_price").alias("highest_price"),
         F.count_distinct("store_id").alias("store_count"),
         F.count("*").alias("offer_count"),

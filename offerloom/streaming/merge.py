@@ -10,11 +10,19 @@ from offerloom.operators.offers import group_offers
 UNIQUE = ["game_id", "store_id", "original_name", "final_price"]
 
 
+def _first_arrived(rows: DataFrame) -> DataFrame:
+    """The first to have arrived of each store, name and price. Prices lead, as sorting tells them apart at one look."""
+    rest = [c for c in rows.columns if c not in (*UNIQUE, "arrival_seq")]
+    return rows.groupBy("final_price", *UNIQUE[:-1]).agg(F.min(F.struct("arrival_seq", *rest)).alias("_r")).select(*UNIQUE, "_r.*").select(rows.columns)
+
+
 def merged(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """State and batch with one offer per store, name and price: the first to have arrived."""
-    rows = state.unionByName(batch)
-    rest = [c for c in rows.columns if c not in UNIQUE]
-    return rows.groupBy(*UNIQUE).agg(F.min_by(F.struct(*rest), "arrival_seq").alias("_r")).select(*UNIQUE, "_r.*").select(rows.columns)
+    """State and batch with one offer per store, name and price: the first to have arrived.
+
+    The batch is reduced by itself, so that it lies by the same keys as a state
+    that was merged before and the state stays where it is.
+    """
+    return _first_arrived(state.unionByName(_first_arrived(batch)))
 
 
 def stream_groups(offers: DataFrame, table: str, checkpoint: str, spark: SparkSession):

@@ -1,7 +1,10 @@
 """What a query reads or sends is read or sent once."""
 
-from offerloom.operators import scan
+from pyspark.sql import functions as F
+
+from offerloom.operators import offers, scan
 from offerloom.plans import scans
+from offerloom.streaming import merge
 
 OFFERS = "game_id string, store_id string, store_name string, original_name string, final_price long, source string, arrival_seq long"
 
@@ -29,3 +32,31 @@ def test_scans_send_offers_once(spark):
     found = scan.scanned(rows, mine)
     assert _plan(found, "executedPlan").count("Exchange hashpartitioning") == 1
     assert sorted(map(tuple, found.collect())) == [(1, "a", 2, "5  Uc", 5), (2, "a", 2, "5  Uc", 5)]
+
+
+def test_a_merged_state_stays_where_it_is(spark, tmp_path):
+    rows = [("g", f"s{k % 3}", f"s{k % 3}", f"{k % 4} Diamonds", 100 + k % 5, "live", k) for k in range(40)]
+    spark.createDataFrame(rows, OFFERS).write.parquet(str(tmp_path / "o"))
+    every, state = spark.read.parquet(str(tmp_path / "o")), None
+    for k in range(3):
+        batch = every.filter(F.col("arrival_seq") % 3 == k)
+        state = merge.merged(batch.limit(0) if state is None else state, batch)
+    above, deepest = [], 0
+    for line in _plan(state, "executedPlan").split("\n"):
+        at = len(line) - len(line.lstrip(" :+-"))
+        above = [a for a in above if a < at]
+        if line[at:].startswith("Exchange hashpartitioning"):
+            above.append(at)
+            deepest = max(deepest, len(above))
+    assert deepest == 1  # no exchange lies below another
+    first = {}
+    for r in rows:
+        first.setdefault((r[0], r[1], r[3], r[4]), r)
+    assert sorted(map(tuple, state.collect())) == sorted(first.values())
+
+
+def test_groups_carry_little_to_count_stores(spark):
+    rows = spark.createDataFrame([("g", "a", "B", "85 Diamonds (77 + 8 Bonus)", 9, "live", 2), ("g", "b", "A", "85 Diamonds", 9, "fallback", 3), ("g", "b", "A", None, 4, "live", 4)], OFFERS)
+    groups = offers.group_offers(rows)
+    assert sorted((r.canonical_key, r.name, r.cheapest_price, r.cheapest_store, r.store_count, r.offer_count, r.has_live_price) for r in groups.collect()) == [("currency:diamonds:85", "85 Diamonds", 9, "A", 2, 2, True), ("other:", "", 4, "A", 1, 1, True)]
+    assert "min_by(struct" not in _plan(groups)
