@@ -38,8 +38,9 @@ def group_offers(offers: DataFrame) -> DataFrame:
         F.count("*").alias("offer_count"),
         F.bool_or(F.col("source") == "live").alias("has_live_price"),
     )
+    groups = names.packages(groups.withColumns({"_key": F.col("canonical_key"), "cheapest_price": F.col("cheapest.final_price")}), "first")
     saved = F.greatest(F.lit(0), F.col("highest_price") - F.col("cheapest_price"))
-    return groups.select(*KEY, F.col("first.canonical_name").alias("name"), F.col("first.package_type").alias("package_type"), F.col("first.unit").alias("unit"), F.col("first.total_amount").alias("total_amount"), "cheapest_price", "cheapest_store", "highest_price", saved.alias("savings"), "store_count", "offer_count", "has_live_price")
+    return groups.select("game_id", F.col("_key").alias("canonical_key"), F.col("canonical_name").alias("name"), "package_type", "unit", "total_amount", "cheapest_price", F.col("cheapest.store_name").alias("cheapest_store"), "highest_price", saved.alias("savings"), "store_count", "offer_count", "has_live_price")
 
 
 def cheapest_offers(offers: DataFrame, k: int) -> DataFrame:
@@ -62,7 +63,13 @@ def sorted_groups(groups: DataFrame, by: str = "price-asc") -> DataFrame:
 def first_of_each(offers: DataFrame, scope: list[str]) -> DataFrame:
     """The first arriving offer of each name (letter case and blanks aside) and price within a scope."""
     name = squeezed(F.lower("original_name"))
-    return offers.withColumn("name_key", name).groupBy(*scope, "name_key", "final_price").agg(F.min_by(F.struct(*[c for c in offers.columns if c not in (*scope, "final_price")]), "arrival_seq").alias("_f")).select(*scope, "final_price", "_f.*")
+    return _first_arrived(offers.withColumn("name_key", name), scope, offers.columns)
+
+
+def _first_arrived(named: DataFrame, scope: list[str], columns: list[str]) -> DataFrame:
+    """The first arriving row of each name_key and price within a scope. Prices lead, as sorting tells them apart at one look."""
+    rest = [c for c in columns if c not in (*scope, "final_price", "arrival_seq")]
+    return named.groupBy("final_price", *scope, "name_key").agg(F.min(F.struct("arrival_seq", *rest)).alias("_f")).select(*scope, "final_price", *(f"_f.{c}" for c in columns if c not in (*scope, "final_price")))
 
 
 def with_fallback(live: DataFrame, catalog: DataFrame, selected: DataFrame) -> DataFrame:
@@ -119,7 +126,7 @@ def page_of(rows: DataFrame, order: str, offset: int, limit: int) -> DataFrame:
 def first_strict(offers: DataFrame, scope: list[str]) -> DataFrame:
     """The first arriving offer of each normalised name and price within a scope; no names and prices under 100 go."""
     named = offers.filter((F.col("original_name") != "") & (F.col("final_price") >= 100)).withColumn("name_key", normalized(F.col("original_name")))
-    return named.groupBy(*scope, "name_key", "final_price").agg(F.min_by(F.struct(*[c for c in offers.columns if c not in (*scope, "final_price")]), "arrival_seq").alias("_f")).select(*scope, "final_price", "_f.*")
+    return _first_arrived(named, scope, offers.columns)
 
 
 def sanitized(offers: DataFrame, page_text: str) -> DataFrame:

@@ -60,7 +60,8 @@ def _items(spark, sf):
 
 
 def strict_dedupe(spark, sf):
-    return offers.first_strict(_items(spark, sf), ["game_id"]).select("game_id", "final_price", "original_name", "store_id")
+    rows = _items(spark, sf).select("game_id", "store_id", "original_name", "final_price", "arrival_seq")
+    return offers.first_strict(rows, ["game_id"]).select("game_id", "final_price", "original_name", "store_id")
 
 
 def store_filter(spark, sf):

@@ -60,3 +60,12 @@ def test_groups_carry_little_to_count_stores(spark):
     groups = offers.group_offers(rows)
     assert sorted((r.canonical_key, r.name, r.cheapest_price, r.cheapest_store, r.store_count, r.offer_count, r.has_live_price) for r in groups.collect()) == [("currency:diamonds:85", "85 Diamonds", 9, "A", 2, 2, True), ("other:", "", 4, "A", 1, 1, True)]
     assert "min_by(struct" not in _plan(groups)
+
+
+def test_first_offers_are_sorted_by_price_and_hold_their_order_once(spark):
+    rows = spark.createDataFrame([("g", "a", "s", "5 UC", 100, "live", 2), ("g", "b", "s", "5-uc", 100, "live", 1), ("g", "b", "s", "", 100, "live", 0)], OFFERS)
+    first = offers.first_strict(rows, ["game_id"])
+    assert first.columns == ["game_id", "final_price", "store_id", "store_name", "original_name", "source", "arrival_seq"]
+    assert [(r.store_id, r.original_name, r.arrival_seq) for r in first.collect()] == [("b", "5-uc", 1)]
+    for found in (first, offers.first_of_each(rows, ["game_id"])):
+        assert "Aggregate [final_price" in _plan(found) and "min_by" not in _plan(found)
