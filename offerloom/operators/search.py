@@ -30,13 +30,15 @@ def search(queries: DataFrame, registry: DataFrame, stores: DataFrame, pages: Da
     """
     # What several results start from is worked out once.
     wanted = kept(found_games(queries, registry).select("game_id").distinct())
-    chosen = stores.orderBy("place").offset(max(0, offset)).limit(min(20, max(1, limit))).select("store_id", "store_name", F.col("place").alias("_store"))  # 20 rows at most
-    asked = pages.join(F.broadcast(chosen), "store_id").join(wanted, "game_id", "left_semi")
+    chosen = kept(stores.orderBy("place").offset(max(0, offset)).limit(min(20, max(1, limit))).select("store_id", "store_name", F.col("place").alias("_store")))  # 20 rows at most
+    # A semi-join on what has few rows is done before pages are built and before the catalogue is spread over all stores.
+    of_chosen = lambda df: df.join(F.broadcast(chosen.select("store_id")), "store_id", "left_semi")
+    asked = kept(of_chosen(pages).join(wanted, "game_id", "left_semi").join(F.broadcast(chosen), "store_id").select("page_id", "store_id", "store_name", "game_id", "_store", "html"))
     read = kept(scan.by_strategy(asked.select("page_id", "store_id", "html"), strategies, extractors))
     live = read.join(asked.select("page_id", "store_id", "store_name", "game_id", "_store"), "page_id").withColumn("source", F.lit("live"))
     own = games.offers_of_game(live, registry).withColumn("arrival_seq", F.struct(F.lit(0).alias("kind"), F.col("_store").cast("long").alias("store"), F.col("page_id").cast("long").alias("page"), F.col("pos").cast("long").alias("pos")))
     columns = ["game_id", "store_id", "store_name", "original_name", "final_price", "source", "arrival_seq"]
-    spare = catalog.join(wanted, "game_id", "left_semi").join(F.broadcast(chosen.drop("store_name")), "store_id").withColumns({"source": F.lit("fallback"), "arrival_seq": F.struct(F.lit(1).alias("kind"), F.col("_store").cast("long").alias("store"), F.lit(0).cast("long").alias("page"), F.col("seq").cast("long").alias("pos"))}).select(*columns)
+    spare = of_chosen(catalog).join(wanted, "game_id", "left_semi").join(F.broadcast(chosen.drop("store_name")), "store_id").withColumns({"source": F.lit("fallback"), "arrival_seq": F.struct(F.lit(1).alias("kind"), F.col("_store").cast("long").alias("store"), F.lit(0).cast("long").alias("page"), F.col("seq").cast("long").alias("pos"))}).select(*columns)
     # A store stands for its game: it may have live offers of one game and need the catalogue for another.
     pair = lambda df: df.withColumnRenamed("store_id", "_id").withColumn("store_id", F.struct("game_id", "_id"))
     pairs = wanted.join(F.broadcast(chosen)).select(F.struct("game_id", F.col("store_id").alias("_id")).alias("store_id"))

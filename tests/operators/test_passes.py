@@ -2,8 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import offers, scan
-from offerloom.plans import scans
+from offerloom.operators import offers, scan, search
+from offerloom.plans import scans, searches
 from offerloom.streaming import merge
 
 OFFERS = "game_id string, store_id string, store_name string, original_name string, final_price long, source string, arrival_seq long"
@@ -69,3 +69,15 @@ def test_first_offers_are_sorted_by_price_and_hold_their_order_once(spark):
     assert [(r.store_id, r.original_name, r.arrival_seq) for r in first.collect()] == [("b", "5-uc", 1)]
     for found in (first, offers.first_of_each(rows, ["game_id"])):
         assert "Aggregate [final_price" in _plan(found) and "min_by" not in _plan(found)
+
+
+def test_only_pages_of_the_chosen_stores_are_built_and_once(spark, sf_dir, monkeypatch):
+    plans, keep = [], search.kept
+    monkeypatch.setattr(search, "kept", lambda df: plans.append(_plan(df)) or keep(df))
+    groups, answers = searches._search(spark, sf_dir)
+    built = [p for p in plans if "collect_list" in p]
+    assert len(built) == 1 and "LeftSemi" in built[0].split("Aggregate [sk")[1].split("Window")[0]
+    spare = next(p for p in plans if "p_retailprice" in p)
+    spread = spare[spare.index("% 50") :].split("Relation [s_suppkey")[0]
+    assert "LeftSemi" in spread  # stores are chosen before the catalogue is spread over them
+    assert groups.count() and answers.count()
